@@ -86,3 +86,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_groups(rows: DataFrame, table: DataFrame, keys: list[str], max_rows: int = 100_000, salts: int = 64) -> DataFrame:
+    """rows left-joined with a table that has one row per group; keys compare null-safe.
+
+    The table is broadcast if it is counted to have at most max_rows rows; beyond that both sides are shuffled, the rows
+    of every group over `salts` salts (a hot group would fill one task), the table once for each salt.
+    """
+    table, few = bounded_broadcast(table, max_rows)
+    names = {k: f"_group_{i}" for i, k in enumerate(keys)}
+    right = table.withColumnsRenamed(names)
+    same = None
+    if not few:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(salts)))
+        right = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        same = rows["_salt"] == right["_salt_of"]
+    for k, name in names.items():
+        test = rows[k].eqNullSafe(right[name])
+        same = test if same is None else same & test
+    return rows.join(right, same, "left").drop(*names.values(), "_salt", "_salt_of")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import mixing, topk, url_filter
+
+_MODULES = {
+    "op1_topk": topk,
+    "op8_url_filter": url_filter,
+    "op9_mixing": mixing,
+}
 
 
 def queries() -> dict:
-    return {
-        "op8_url_filter": url_filter.query,
-    }
+    return {name: module.query for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op8_url_filter": url_filter.oracle(),
-    }
+    return {name: module.oracle() for name, module in _MODULES.items() if hasattr(module, "oracle")}
