@@ -106,3 +106,8 @@ def join_groups(rows: DataFrame, table: DataFrame, keys: list[str], max_rows: in
         test = rows[k].eqNullSafe(right[name])
         same = test if same is None else same & test
     return rows.join(right, same, "left").drop(*names.values(), "_salt", "_salt_of")
+
+
+def numbered(df: DataFrame, tag: str, name: str = "_rid") -> DataFrame:
+    """df staged with a row number that never changes again (long; not gapless)."""
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), tag)
