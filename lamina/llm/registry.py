@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, pii, quality, topk, url_filter
+from . import line_dedup, mixing, pii, quality, token_files, topk, url_filter
 
 _MODULES = {
     "op1_topk": topk,
     "op2_quality": quality,
+    "op3_token_files": token_files,
     "op4_pii": pii,
     "op5_line_dedup": line_dedup,
     "op8_url_filter": url_filter,
