@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, numbered, read_table
+from .common import let, numbered, read_table, stage
 
 RUN_LINES, LONG_WORDS = 2, 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -42,12 +42,13 @@ def _windows(rows: DataFrame, run_lines: int, long_words: int) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """Windows (_rid, i, n) of the rows (_rid, _id, _text) that stand earlier, by id, row and line; null ids come first."""
-    windows = _windows(rows, run_lines, long_words)
+    windows = stage(_windows(rows, run_lines, long_words), "line-windows")
     # fingerprints, each place once; partial counts make hot ones cheap
     places = windows.select("fp", "_rid", "at").distinct()
     common = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
     anchored = windows.join(common, "fp", "left_semi").select("key1", "key2", F.struct("_id", "_rid", "i").alias("place"), "n")
     first = anchored.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key1", "key2", "first")
+    first = stage(first, "line-first")  # by itself, so that the join below may split a hot window's rows
     later = anchored.join(first, ["key1", "key2"]).filter(~F.col("place").eqNullSafe(F.col("first")))
     return later.select("place._rid", "place.i", "n")
 
@@ -62,10 +63,11 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = L
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     kept = docs.columns
-    rows = numbered(docs.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).select("_row", "_id", "_text"), "lines")
-    hits = repeated_windows(rows.select("_rid", "_id", "_text"), run_lines, long_words).groupBy("_rid").agg(F.collect_list(F.struct("i", "n")).alias("_hits"))
+    rows = numbered(docs.select(F.struct(*kept).alias("_row")), "lines")
+    text = F.col("_row")[text_col].cast("string")
+    hits = repeated_windows(rows.select("_rid", F.col("_row")[id_col].alias("_id"), text.alias("_text")), run_lines, long_words).groupBy("_rid").agg(F.collect_list(F.struct("i", "n")).alias("_hits"))
     joined = rows.join(hits, "_rid", "left")
-    lines = F.split(F.col("_text"), "\n", -1)
+    lines = F.split(text, "\n", -1)
 
     def clean(x):
         places = F.filter(F.transform(x, lambda s, j: F.when(s.rlike(_WORD), j)), lambda j: j.isNotNull())
@@ -79,7 +81,7 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = L
         whole = lambda p: F.struct(F.array_join(x, "\n").alias("text"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_runs"), F.size(p).alias("n_lines"))
         return let(places, lambda p: F.when(F.col("_hits").isNull(), whole(p)).otherwise(cut(p)))
 
-    done = joined.withColumn("_new", F.when(F.col("_text").isNotNull(), let(lines, clean)))
+    done = joined.withColumn("_new", F.when(text.isNotNull(), let(lines, clean)))
     out = [F.when(F.col("_new").isNotNull(), F.col("_new.text")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept]
     count = lambda n: F.coalesce(F.col(f"_new.{n}"), F.lit(0)).cast("long").alias(n)
     return done.select(*out, count("n_lines"), count("n_removed"), count("n_runs"))
