@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, pii, quality, token_files, topk, url_filter
+from . import line_dedup, mixing, ngram_join, packing, pii, quality, token_files, topk, url_filter
 
 _MODULES = {
     "op1_topk": topk,
@@ -10,6 +10,8 @@ _MODULES = {
     "op3_token_files": token_files,
     "op4_pii": pii,
     "op5_line_dedup": line_dedup,
+    "op6_ngram_join": ngram_join,
+    "op7_packing": packing,
     "op8_url_filter": url_filter,
     "op9_mixing": mixing,
 }
