@@ -45,15 +45,16 @@ class Shingler:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """A sorted array per text. Fewer than k words: the whole sequence as one shingle; null or no word: empty."""
-        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        whole = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # ascii_lower misreads the data of slices
+        low = pc.ascii_lower(pc.fill_null(whole, ""))
         lists = pc.ascii_split_whitespace(low)
         words = lists.flatten()
-        borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.dictionary_encode()
         known = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
         empty = pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
         codes = coded.indices.to_numpy()
-        owner = np.repeat(np.arange(len(texts)), np.diff(borders))
+        owner = np.repeat(np.arange(len(texts)), size)
         real = ~empty[codes] if len(codes) else np.zeros(0, bool)
         hashes, owner = known[codes[real]] if len(codes) else np.zeros(0, np.uint64), owner[real]
         counts = np.bincount(owner, minlength=len(texts))
