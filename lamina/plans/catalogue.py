@@ -1,6 +1,394 @@
-"""The named queries over the driver's tables, each with the SQL that must give the same rows."""
+"""The named queries over the driver's tables, each with the SQL that must give the same rows.
+
+Wire bytes are upper-case hexadecimal text.  Compressed bytes depend on the compressor's version, so queries that compress
+give the identity of a round trip together with columns that SQL can check; the bytes are pinned by tests.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import varint as v
+from ..functions import wire as w
+from ..operators import delta, dictionary, flagged, structural
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- the same rules in DuckDB SQL
+
+
+def _pairs(x: str) -> str:
+    return f"array_to_string(list_reverse(regexp_extract_all({x}, '..')), '')"
+
+
+def _even(x: str) -> str:
+    """Hex digits of a number, an even count."""
+    return f"CASE WHEN length(to_hex({x})) % 2 = 1 THEN '0' || to_hex({x}) ELSE to_hex({x}) END"
+
+
+def _varint(x: str) -> str:
+    return f"CASE WHEN {x} BETWEEN 0 AND 127 THEN lpad(to_hex({x}), 2, '0') ELSE to_hex(128 + ((length(to_hex({x})) + 1) // 2)) || {_pairs(_even(x))} END"
+
+
+def _varint_len(x: str) -> str:
+    return f"(CASE WHEN {x} BETWEEN 0 AND 127 THEN 1 ELSE 1 + (length(to_hex({x})) + 1) // 2 END)"
+
+
+def _le8(x: str) -> str:
+    return _pairs(f"lpad(to_hex({x}), 16, '0')")
+
+
+def _zigzag(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN 2 * {x} ELSE -2 * {x} - 1 END)"
+
+
+def _signed(x: str) -> str:
+    return _varint(_zigzag(x))
+
+
+def _text(x: str) -> str:
+    """Raw flagged form of a short string."""
+    return f"({_varint(f'(2 * octet_length(encode({x})))')}) || hex(encode({x}))"
+
+
+# ---- integers
+
+
+@_query(f"SELECT o_orderkey, {_varint('o_orderkey')} AS wire_hex, {_varint_len('o_orderkey')}::INTEGER AS wire_len FROM orders")
+def varint_orderkey(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", v.varint_hex(key).alias("wire_hex"), v.varint_len(key).alias("wire_len"))
+
+
+@_query(f"SELECT {_varint_len('l_partkey')}::INTEGER AS wire_len, count(*) AS n, sum({_varint_len('l_partkey')})::BIGINT AS wire_bytes FROM lineitem GROUP BY ALL")
+def varint_width_histogram(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(v.varint_len(F.col("l_partkey")).alias("wire_len"))
+    return rows.groupBy("wire_len").agg(F.count(F.lit(1)).alias("n"), F.sum("wire_len").alias("wire_bytes"))
+
+
+@_query(f"SELECT o_orderkey, {_varint('(o_orderkey * 1000003)')} AS wire_hex, o_orderkey * 1000003 AS decoded, {_varint_len('(o_orderkey * 1000003)')}::INTEGER AS next_offset FROM orders")
+def varint_decode_roundtrip(spark, sf_dir):
+    value = F.col("o_orderkey") * 1000003
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", v.varint_hex(value).alias("wire_hex")).withColumn("d", v.decode_varint(F.unhex("wire_hex")))
+    return rows.select("o_orderkey", "wire_hex", F.col("d.value").alias("decoded"), F.col("d.next_offset").alias("next_offset"))
+
+
+_CENTS = "CAST(round(c_acctbal * 100) AS BIGINT)"
+
+
+@_query(f"SELECT c_custkey, {_CENTS} AS cents, {_zigzag(_CENTS)} AS zigzag, {_signed(_CENTS)} AS wire_hex, {_CENTS} AS back FROM customer")
+def zigzag_acctbal_cents(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    z = v.zigzag(F.col("cents"))
+    return rows.select("c_custkey", "cents", z.alias("zigzag"), v.int_wire(F.col("cents")).alias("wire_hex"), v.zigzag_inverse(z).alias("back"))
+
+
+@_query(f"""SELECT event_id, CASE WHEN value > 100 THEN '01' ELSE '00' END AS flag_hex,
+  CASE WHEN value > 100 THEN '01' || {_varint('event_id')} ELSE '00' END AS option_hex FROM events""")
+def bool_option_codec(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 100, F.col("event_id")).alias("x"))
+    flag = v.bool_wire(F.col("x").isNotNull())
+    return rows.select("event_id", flag.alias("flag_hex"), structural.wire_hex(F.col("x"), T.LongType(), True, {"unsigned": True}).alias("option_hex"))
+
+
+@_query(f"SELECT o_orderkey, {_le8('o_orderkey')} || {_le8('o_custkey')} AS packed_hex, o_custkey AS unpacked FROM orders")
+def pack_fixed_le(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat(v.pack_int(F.col("o_orderkey")), v.pack_int(F.col("o_custkey"))).alias("packed_hex"))
+    return rows.withColumn("unpacked", v.unpack_int(F.substring(F.unhex("packed_hex"), 9, 8)))
+
+
+@_query(f"SELECT o_orderkey, {_pairs('hex(o_totalprice::BIT::BLOB)')} AS float_hex FROM orders")
+def float_bits_le(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", structural.float_hex(F.col("o_totalprice")).alias("float_hex"))
+
+
+@_query(f"SELECT p_partkey, (p_size % 256)::INTEGER AS size_u8, lpad(to_hex(p_size % 256), 2, '0') AS u8_hex, p_partkey + 1 AS nonzero_key, {_varint('(p_partkey + 1)')} AS nonzero_hex FROM part")
+def byte_and_nonzero(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part")
+    small = F.pmod(F.col("p_size"), F.lit(256))
+    key = v.nonzero(F.col("p_partkey") + 1)
+    return rows.select("p_partkey", small.alias("size_u8"), v.uint_wire(small, 8).alias("u8_hex"), key.alias("nonzero_key"), v.varint_hex(key).alias("nonzero_hex"))
+
+
+# ---- structures
+
+
+def _plain(df: DataFrame) -> T.StructType:
+    """The schema with no field nullable and integers unsigned."""
+    return T.StructType([T.StructField(f.name, f.dataType, False, {"unsigned": True}) for f in df.schema])
+
+
+@_query(f"SELECT n_nationkey, {_varint('n_nationkey')} || {_text('n_name')} || {_varint('n_regionkey')} AS wire_hex FROM nation")
+def struct_codec_nation(spark, sf_dir):
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return rows.select("n_nationkey", structural.wire_hex(F.struct(*rows.columns), _plain(rows)).alias("wire_hex"))
+
+
+@_query("""SELECT event_id, lpad(to_hex(CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'refund' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END), 2, '0')
+  || CASE WHEN event_type = 'purchase' THEN """ + _varint("user_id") + """ ELSE '' END AS wire_hex FROM events""")
+def enum_event_type(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events")
+    tag = F.when(F.col("event_type").isin("click", "purchase", "refund", "signup"), F.col("event_type")).otherwise("other")
+    body = structural.T.StructType([T.StructField("user_id", T.LongType(), False, {"unsigned": True})])
+    variants = {"click": None, "purchase": (F.struct("user_id"), body), "refund": None, "signup": None, "other": None}
+    return rows.select("event_id", structural.enum_hex(tag, variants).alias("wire_hex"))
+
+
+@_query(f"""SELECT o_custkey, len(keys)::INTEGER AS n, {_varint('len(keys)')} || array_to_string(list_transform(keys, lambda x: {_varint('x')}), '') AS wire_hex
+FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS keys FROM orders GROUP BY o_custkey)""")
+def array_codec_custorders(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    wire = structural.wire_hex(F.col("keys"), T.ArrayType(T.LongType(), False), False, {"unsigned": True})
+    return rows.select("o_custkey", F.size("keys").alias("n"), wire.alias("wire_hex"))
+
+
+@_query(f"""SELECT o_custkey, {_varint('len(p)')} || array_to_string(list_transform(p, lambda x: {_text('x.s')} || {_signed('x.n')}), '') AS wire_hex
+FROM (SELECT o_custkey, list_sort(list({{'s': s, 'n': n}})) AS p FROM (SELECT o_custkey, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey)""")
+def map_codec_status_counts(spark, sf_dir):
+    counts = _read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"))
+    return rows.select("o_custkey", structural.wire_hex(F.col("m"), T.MapType(T.StringType(), T.LongType(), False)).alias("wire_hex"))
+
+
+@_query("""SELECT vec_id, len(embedding)::INTEGER AS n, (CASE WHEN len(embedding) <= 127 THEN 1 ELSE 1 + (length(to_hex(len(embedding))) + 1) // 2 END + 4 * len(embedding))::INTEGER AS wire_len, true AS same FROM embeddings""")
+def array_codec_embeddings(spark, sf_dir):
+    kind = T.ArrayType(T.FloatType(), False)
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.unhex(structural.wire_hex(F.col("embedding"), kind)).alias("wire"))
+    back = structural.decode_column(F.col("wire"), kind)
+    return rows.select("vec_id", F.size("embedding").alias("n"), F.octet_length("wire").alias("wire_len"), (back == F.col("embedding")).alias("same"))
+
+
+@_query(f"""SELECT o_orderkey, '01' || {_varint('o_orderkey')} || '01' || {_varint('o_custkey')} || '01' || {_text('o_orderstatus')} AS wire_hex,
+  o_orderkey AS key_back, o_custkey AS cust_back, o_orderstatus AS status_back FROM orders""")
+def struct_roundtrip_orders(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    kind = T.StructType([T.StructField(f.name, f.dataType, True, {"unsigned": True}) for f in rows.schema])
+    rows = rows.select("o_orderkey", structural.wire_hex(F.struct(*rows.columns), kind).alias("wire_hex"))
+    rows = rows.withColumn("d", structural.decode_column(F.unhex("wire_hex"), kind))
+    return rows.select("o_orderkey", "wire_hex", F.col("d.o_orderkey").alias("key_back"), F.col("d.o_custkey").alias("cust_back"), F.col("d.o_orderstatus").alias("status_back"))
+
+
+@_query("SELECT o_custkey, o_orderkey AS value, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS position FROM orders")
+def stream_decode(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", v.int_wire(F.col("o_orderkey")).alias("h")))).alias("a"))
+    wire = rows.select("o_custkey", F.unhex(F.array_join(F.transform("a", lambda x: x["h"]), "")).alias("wire"))
+    return structural.decode_stream(wire, T.LongType()).select("o_custkey", "value", "position")
+
+
+# ---- flagged bytes
+
+_GATE = """(octet_length(b) >= 32 AND (list_max(list_transform(p[1:8], lambda x: ('0x' || x)::INTEGER)) - list_min(list_transform(p[1:8], lambda x: ('0x' || x)::INTEGER)) > 200
+  OR len(list_distinct(p)) >= 28))"""
+
+
+@_query(f"""SELECT doc_id, octet_length(b)::INTEGER AS n_bytes, {_GATE} AS gate, octet_length(b) >= 64 AND NOT {_GATE} AS tried
+FROM (SELECT doc_id, encode(text) AS b, regexp_extract_all(left(hex(encode(text)), 64), '..') AS p FROM documents)""")
+def entropy_gate_documents(spark, sf_dir):
+    data = F.col("text").cast("binary")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.octet_length(data).alias("n_bytes"), flagged.looks_incompressible(data).alias("gate"), flagged.compressible(data).alias("tried"))
+
+
+@_query(f"""SELECT 'region' AS t, r_regionkey::BIGINT AS k, {_text('r_name')} AS wire_hex FROM region UNION ALL SELECT 'nation', n_nationkey, {_text('n_name')} FROM nation
+UNION ALL SELECT 'part', p_partkey, {_text('p_name')} FROM part WHERE octet_length(encode(p_name)) < 64""")
+def flagged_short_raw(spark, sf_dir):
+    one = lambda t, k, n: _read(spark, sf_dir, t).select(F.lit(t).alias("t"), F.col(k).cast("long").alias("k"), F.col(n).alias("x"))
+    rows = one("region", "r_regionkey", "r_name").union(one("nation", "n_nationkey", "n_name")).union(one("part", "p_partkey", "p_name")).filter(F.octet_length("x") < 64)
+    return rows.select("t", "k", flagged.flagged_hex(F.col("x"), True).alias("wire_hex"))
+
+
+@_query("""SELECT t, k, octet_length(encode(x))::INTEGER AS raw_len, true AS same, true AS not_longer FROM (
+  SELECT 'documents' AS t, doc_id AS k, text AS x FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)""")
+def flagged_text_roundtrip(spark, sf_dir):
+    one = lambda t, k, n: _read(spark, sf_dir, t).select(F.lit(t).alias("t"), k.alias("k"), F.col(n).alias("x"))
+    rows = one("documents", F.col("doc_id"), "text").union(one("pages", F.col("page_id"), "html")).union(one("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"))
+    rows = rows.withColumn("wire", flagged.flagged(F.col("x"), True))
+    size = F.octet_length("x")
+    return rows.select("t", "k", size.alias("raw_len"), (flagged.read_flagged(F.col("wire"), True) == F.col("x")).alias("same"), (F.octet_length("wire") <= size + v.varint_len(size.cast("long") * 2)).alias("not_longer"))
+
+
+@_query()
+def flagged_size_report(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("raw"), flagged.flagged(F.col("text"), True).alias("wire"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.sum(F.octet_length("wire")).alias("wire_bytes"), F.sum(flagged.is_compressed(F.col("wire")).cast("long")).alias("n_compressed"))
+
+
+# ---- dictionary
+
+_DEDUPE = """WITH f AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS fp FROM orders),
+d AS (SELECT *, dense_rank() OVER (ORDER BY fp) AS id FROM f), e AS (SELECT *, CASE WHEN fp = o_orderkey THEN 0 ELSE id END AS wire_id FROM d)"""
+
+
+def _encoded_orders(spark, sf_dir):
+    return dictionary.encode(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey")
+
+
+@_query(f"""{_DEDUPE} SELECT o_orderkey, o_custkey, id, wire_id, CASE WHEN wire_id = 0 THEN '00' || {_le8('o_custkey')} ELSE {_varint('wire_id')} END AS wire_hex,
+  (CASE WHEN wire_id = 0 THEN 9 ELSE {_varint_len('wire_id')} END)::INTEGER AS wire_len, {_varint_len('o_custkey')}::INTEGER AS plain_len FROM e""")
+def dedupe_encode_custkey(spark, sf_dir):
+    rows = _encoded_orders(spark, sf_dir)
+    return rows.select("o_orderkey", "o_custkey", "id", "wire_id", dictionary.wire(rows, v.pack_int(F.col("o_custkey"))).alias("wire_hex"), dictionary.wire_size(8).alias("wire_len"), v.varint_len(F.col("o_custkey")).alias("plain_len"))
+
+
+@_query(f"{_DEDUPE} SELECT o_orderkey, wire_id, o_custkey FROM e")
+def dedupe_decode_custkey(spark, sf_dir):
+    wire = _encoded_orders(spark, sf_dir).select("o_orderkey", "wire_id", F.when(F.col("is_new"), F.col("o_custkey")).alias("o_custkey"))
+    return dictionary.decode(wire, "o_custkey", "o_orderkey").select("o_orderkey", "wire_id", "o_custkey")
+
+
+_PRIMED = """WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS fid FROM customer WHERE c_custkey <= 100),
+f AS (SELECT o.*, fid, CASE WHEN fid IS NULL THEN min(o_orderkey) OVER (PARTITION BY o_custkey) END AS fp FROM orders o LEFT JOIN p ON o_custkey = c_custkey),
+d AS (SELECT *, CASE WHEN fid IS NULL THEN (SELECT count(*) FROM p) + dense_rank() OVER (ORDER BY fp NULLS LAST) ELSE fid END AS id FROM f)"""
+
+
+@_query(f"{_PRIMED} SELECT o_orderkey, o_custkey, id, CASE WHEN fp = o_orderkey THEN 0 ELSE id END AS wire_id, o_custkey AS decoded FROM d")
+def dedupe_primed(spark, sf_dir):
+    frozen = dictionary.prime(_read(spark, sf_dir, "customer").filter("c_custkey <= 100"), "c_custkey", "c_custkey")
+    rows = dictionary.encode(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", frozen=frozen)
+    wire = rows.select("o_orderkey", "o_custkey", "id", "wire_id", F.when(F.col("is_new"), F.col("o_custkey")).alias("decoded"))
+    return dictionary.decode(wire, "decoded", "o_orderkey", frozen=frozen)
+
+
+@_query("""WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS epoch FROM events), f AS (SELECT *, min(event_id) OVER (PARTITION BY epoch, user_id) AS fp FROM e)
+SELECT epoch, event_id, user_id, CASE WHEN fp = event_id THEN 0 ELSE dense_rank() OVER (PARTITION BY epoch ORDER BY fp) END AS wire_id FROM f""")
+def dedupe_epoch_clear(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("epoch"), "event_id", "user_id")
+    return dictionary.encode(rows, "user_id", "event_id", ["epoch"]).select("epoch", "event_id", "user_id", "wire_id")
+
+
+_MIXED = """WITH s AS (SELECT 2 * event_id AS pos, 'user' AS t, user_id::VARCHAR AS x FROM events UNION ALL SELECT 2 * event_id + 1, 'type', event_type FROM events),
+f AS (SELECT *, min(pos) OVER (PARTITION BY t, x) AS fp FROM s), d AS (SELECT *, dense_rank() OVER (ORDER BY fp) AS id FROM f)"""
+
+
+def _mixed_stream(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events")
+    users = rows.select((F.col("event_id") * 2).alias("pos"), F.lit("user").alias("t"), F.col("user_id").cast("string").alias("x"))
+    return users.union(rows.select((F.col("event_id") * 2 + 1).alias("pos"), F.lit("type").alias("t"), F.col("event_type").alias("x")))
+
+
+@_query(f"{_MIXED} SELECT pos, t, CASE WHEN fp = pos THEN 0 ELSE id END AS wire_id, x AS decoded FROM d")
+def dedupe_mixed_types(spark, sf_dir):
+    rows = dictionary.encode(_mixed_stream(spark, sf_dir), "x", "pos", type_col="t")
+    wire = rows.select("pos", "t", "wire_id", F.when(F.col("is_new"), F.col("x")).alias("decoded"))
+    return dictionary.decode(wire, "decoded", "pos", type_col="t")
+
+
+@_query(f"{_MIXED} SELECT t AS type, count(*) AS n_values, min(id) AS least_id, max(id) AS greatest_id FROM d WHERE fp = pos GROUP BY t")
+def dedupe_stats(spark, sf_dir):
+    rows = dictionary.encode(_mixed_stream(spark, sf_dir), "x", "pos", type_col="t")
+    return dictionary.stats_by_type(dictionary.dictionary_of(rows, "x", type_col="t"))
+
+
+@_query(f"{_DEDUPE} SELECT count(*) AS n, count(*) FILTER (wire_id = 0) AS n_new, sum(CASE WHEN wire_id = 0 THEN 9 ELSE {_varint_len('wire_id')} END)::BIGINT AS dedupe_bytes, sum({_varint_len('o_custkey')})::BIGINT AS varint_bytes, (8 * count(*))::BIGINT AS packed_bytes FROM e")
+def dedupe_savings(spark, sf_dir):
+    rows = _encoded_orders(spark, sf_dir)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_new").cast("long")).alias("n_new"), F.sum(dictionary.wire_size(8)).alias("dedupe_bytes"),
+        F.sum(v.varint_len(F.col("o_custkey"))).alias("varint_bytes"), (F.count(F.lit(1)) * 8).alias("packed_bytes"),
+    )
+
+
+@_query("""WITH l AS (SELECT o_custkey, o_orderkey, unnest([o_orderstatus, o_orderpriority]) AS x, unnest([0, 1]) AS i FROM orders),
+f AS (SELECT *, min(o_orderkey * 2 + i) OVER (PARTITION BY o_custkey, x) AS fp FROM l), d AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY fp) AS id FROM f)
+SELECT o_orderkey, max(CASE WHEN i = 0 THEN CASE WHEN fp = o_orderkey * 2 THEN 0 ELSE id END END) AS first_id, max(CASE WHEN i = 1 THEN CASE WHEN fp = o_orderkey * 2 + 1 THEN 0 ELSE id END END) AS second_id FROM d GROUP BY o_orderkey""")
+def dedupe_nested_leaves(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.array("o_orderstatus", "o_orderpriority").alias("leaves"))
+    done = dictionary.encode_nested(rows, "leaves", "o_orderkey", ["o_custkey"])
+    return done.select("o_orderkey", F.get("wire_ids", F.lit(0)).alias("first_id"), F.get("wire_ids", F.lit(1)).alias("second_id"))
+
+
+# ---- delta
+
+_PREV = "SELECT event_id, user_id, encode(props) AS b, lag(encode(props)) OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events"
+_AT = "list_filter(range(1, octet_length(b) + 1), lambda i: i > octet_length(a) OR substr(hex(a), 2 * i - 1, 2) <> substr(hex(b), 2 * i - 1, 2))"
+
+
+def _event_pairs(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("props").cast("binary").alias("b"))
+    return delta.with_previous(rows, "user_id", "event_id", "b", "a")
+
+
+@_query(f"SELECT event_id, hex(a) AS previous_hex, octet_length(b)::INTEGER AS n FROM ({_PREV})")
+def delta_lag_pairs(spark, sf_dir):
+    return _event_pairs(spark, sf_dir).select("event_id", F.hex("a").alias("previous_hex"), F.octet_length("b").alias("n"))
+
+
+@_query(f"""SELECT event_id, len(p)::BIGINT AS changed, len(list_filter(range(1, len(p) + 1), lambda k: k = 1 OR p[k] - p[k - 1] > 8))::BIGINT AS n_patches
+FROM (SELECT event_id, {_AT} AS p FROM ({_PREV}) WHERE a IS NOT NULL)""")
+def delta_rle_patches(spark, sf_dir):
+    rows = _event_pairs(spark, sf_dir).filter("a is not null").select("event_id", delta.patch_stats(F.col("a"), F.col("b")).alias("s"))
+    return rows.select("event_id", "s.changed", "s.n_patches")
+
+
+@_query(f"""SELECT event_id, array_to_string(list_transform(range(1, greatest(octet_length(a), octet_length(b)) + 1),
+  lambda i: printf('%02X', xor(('0x' || rpad(hex(a), 4096, '0')[2 * i - 1:2 * i])::INTEGER, ('0x' || rpad(hex(b), 4096, '0')[2 * i - 1:2 * i])::INTEGER))), '') AS xor_hex FROM ({_PREV}) WHERE a IS NOT NULL""")
+def delta_xor_hex(spark, sf_dir):
+    return _event_pairs(spark, sf_dir).filter("a is not null").select("event_id", delta.xor_hex(F.col("a"), F.col("b")).alias("xor_hex"))
+
+
+@_query(f"""SELECT conv_id, turn, octet_length(encode(text))::INTEGER AS raw_len, f AS is_first, CASE WHEN f THEN '00' || {_varint('octet_length(encode(text))')} || hex(encode(text)) END AS whole_hex, true AS mode_ok
+FROM (SELECT *, turn = min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations)""")
+def delta_modes(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
+    done = delta.encode(rows, "conv_id", "turn", "b")
+    from pyspark.sql import Window
+
+    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    return done.select("conv_id", "turn", F.octet_length("b").alias("raw_len"), first.alias("is_first"), F.when(first, F.hex("wire")).alias("whole_hex"), (F.col("mode").between(0, 2) & (~first | (F.col("mode") == 0))).alias("mode_ok"))
+
+
+@_query()
+def delta_mode_report(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
+    done = delta.encode(rows, "conv_id", "turn", "b")
+    return done.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("b")).alias("raw_bytes"), F.sum(F.octet_length("wire")).alias("wire_bytes"))
+
+
+@_query("SELECT 'events' AS t, user_id AS k, event_id AS at, hex(encode(props)) AS blob_hex FROM events UNION ALL SELECT 'conversations', conv_id, turn, hex(encode(text)) FROM conversations")
+def delta_roundtrip(spark, sf_dir):
+    out = None
+    for table, key, at, text in (("events", "user_id", "event_id", "props"), ("conversations", "conv_id", "turn", "text")):
+        rows = _read(spark, sf_dir, table).select(F.lit(table).alias("t"), F.col(key).alias("k"), F.col(at).cast("long").alias("at"), F.col(text).cast("binary").alias("b"))
+        back = delta.decode(delta.encode(rows, "k", "at", "b").drop("b", "mode"), "k", "at").select("t", "k", "at", F.hex("blob").alias("blob_hex"))
+        out = back if out is None else out.union(back)
+    return out
+
+
+@_query("SELECT count(*) AS n_keys, sum(n)::BIGINT AS cached_bytes FROM (SELECT arg_max(octet_length(encode(props)), event_id) AS n FROM events GROUP BY user_id)")
+def delta_store_stats(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("props").cast("binary").alias("b"))
+    return delta.store_stats(rows, "user_id", "event_id", "b")
+
+
+# ---- wide integers
+
+
+@_query(f"""SELECT o_orderkey, bits::INTEGER AS bits, CASE WHEN v < 128 THEN lpad(to_hex(v), 2, '0') ELSE to_hex(128 + ((length(to_hex(v)) + 1) // 2)) || {_pairs(_even('v'))} END AS wire_hex
+FROM (SELECT o_orderkey, o_orderkey % 100 AS bits, (o_orderkey::UHUGEINT * (1::UHUGEINT << (o_orderkey % 100)::UHUGEINT)) AS v FROM orders)""")
+def u256_varint(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(100)).cast("int").alias("bits"))
+
+    @F.pandas_udf("string")
+    def wide(key, bits):
+        import pandas as pd
+
+        return pd.Series([w.U256.dumps(int(k) << int(b)).hex().upper() for k, b in zip(key, bits, strict=True)])
+
+    return rows.select("o_orderkey", "bits", wide("o_orderkey", "bits").alias("wire_hex"))

@@ -1 +1,5 @@
+"""Data sources: the framed container for encoded streams."""
 
+from .container import ContainerSource
+
+__all__ = ["ContainerSource"]
