@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stage
-from .tokens import MemoTokenizer
+from .tokens import shared_tokenizer
 
 CAPACITY, END_ID = 2048, 0
 #: Patterns of three and of four lengths that are enumerated, at most.
@@ -137,11 +137,11 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokenizer = MemoTokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 4096):
+                some = batch.slice(low, 4096)
                 ids, size = tokenizer.encode(some.column(1))
                 flat = np.insert(ids, np.cumsum(size), end_id).astype("<u4")
                 size = size + 1

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, new_folder, partitions, read_table, stage
-from .tokens import MemoTokenizer
+from .tokens import shared_tokenizer
 
 LANES, SEGMENT = 512, 1 << 16
 #: A frame is closed when it has this many tokens; a longer document makes a longer frame.
@@ -120,7 +120,7 @@ def _framer(path: str, end_id: int | None, width: str):
         from pyspark import TaskContext
 
         shard, frame, first = TaskContext.get().partitionId(), 0, 0
-        tokenizer = MemoTokenizer(path)
+        tokenizer = shared_tokenizer(path)
         names, sizes, held, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -131,8 +131,8 @@ def _framer(path: str, end_id: int | None, width: str):
             return pa.RecordBatch.from_arrays(list(cells), names=["shard", "frame", "first", "n_tokens", "doc_ids", "doc_tokens", "ids"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 4096):
+                some = batch.slice(low, 4096)
                 ids, size = tokenizer.encode(some.column(1))
                 if end_id is not None:
                     ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1

@@ -15,24 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per task; beyond it the memo starts anew.  Bounds memory, never changes an id.
-MEMO = 700_000
+#: Pieces kept per worker; beyond it a new memo starts, with the last one behind it.  Bounds memory, never changes an id.
+MEMO = 400_000
 MEMO_LETTERS = 20_000_000
+#: New pieces to a call of the library.
+GROUP = 64
 #: Bytes of text cut at a time.
-SLICE = 4_000_000
-
-
-class _Codes(dict):
-    """Piece -> code; a new piece gets the next code and waits in new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.new.append(piece)
-        return code
+SLICE = 8_000_000
 
 
 class MemoTokenizer:
@@ -48,7 +37,9 @@ class MemoTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.codes = _Codes()
+        """A new memo; what the last one knew is copied from it when it is met again."""
+        self.old = (self.codes, self.start, self.size, self.pool) if hasattr(self, "codes") else None
+        self.codes: dict[str, int] = {}
         self.start = np.zeros(1024, np.int64)  # of each piece's ids in pool; -1: not to be used
         self.size = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
@@ -69,7 +60,7 @@ class MemoTokenizer:
         """ids of the pieces in a row, and how many each has; many pieces to a call of the library."""
         if self.separator:
             text, sep = self.separator
-            groups = [text.join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
+            groups = [text.join(pieces[i : i + GROUP]) for i in range(0, len(pieces), GROUP)]
             encoded = self.library.encode_batch_fast(groups, add_special_tokens=False)
             flat = np.concatenate([np.array([*e.ids, sep], dtype=np.uint32) for e in encoded] or [np.zeros(0, np.uint32)])
             ends = np.flatnonzero(flat == sep)
@@ -88,32 +79,45 @@ class MemoTokenizer:
             return 0
         return 2 if len(body.split()) == 1 and "\x01" not in body else 1
 
-    def _learn(self) -> None:
-        new, first = self.codes.new, len(self.codes) - len(self.codes.new)
-        self.codes.new = []
+    def _keep(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.pad(self.pool, (0, max(end, 2 * len(self.pool)) - len(self.pool)))
+        self.pool[self.used : end] = ids
+        self.size[at] = size
+        self.start[at] = self.used + np.cumsum(size) - size
+        self.used = end
+
+    def _learn(self, new: list[str]) -> None:
+        first = len(self.codes)
+        self.codes.update(zip(new, range(first, first + len(new)), strict=True))
         self.letters += sum(map(len, new))
         if len(self.codes) > len(self.start):
             grow = max(len(self.codes), 2 * len(self.start)) - len(self.start)
             self.start, self.size = np.pad(self.start, (0, grow)), np.pad(self.size, (0, grow))
-        kind = np.fromiter(map(self._kind, new), np.int8, len(new))
-        self.start[first + np.flatnonzero(kind == 0)] = -1
-        for which, rows in ((1, None), (2, self._rows)):
-            at = np.flatnonzero(kind == which)
-            if not len(at):
-                continue
-            pieces = [new[i] for i in at]
-            if rows:
-                ids, size = rows(pieces)
-            else:
-                each = self._direct(pieces)
-                ids, size = np.concatenate(each), np.array([len(r) for r in each], dtype=np.int64)
-            end = self.used + len(ids)
-            if end > len(self.pool):
-                self.pool = np.pad(self.pool, (0, max(end, 2 * len(self.pool)) - len(self.pool)))
-            self.pool[self.used : end] = ids
-            self.size[first + at] = size
-            self.start[first + at] = self.used + np.cumsum(size) - size
-            self.used = end
+        at = first + np.arange(len(new))
+        if self.old:
+            codes, start, size, pool = self.old
+            was = np.fromiter((codes.get(p, -1) for p in new), np.int64, len(new))
+            known = np.flatnonzero(was >= 0)
+            here = was[known]
+            n = size[here]
+            ends = np.cumsum(n)
+            self._keep(at[known], pool[np.repeat(start[here] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n)
+            self.start[at[known][start[here] < 0]] = -1
+            rest = np.flatnonzero(was < 0)
+            new, at = [new[i] for i in rest], at[rest]
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), r"^ ?[!-~]+$").to_numpy(zero_copy_only=False)
+        kind = np.where(plain, np.int8(2), np.int8(0))
+        for i in np.flatnonzero(~plain):
+            kind[i] = self._kind(new[i])
+        self.start[at[kind == 0]] = -1
+        for i in np.flatnonzero(kind == 1):
+            ids = self._direct([new[i]])[0]
+            self._keep(at[i : i + 1], ids, np.array([len(ids)]))
+        joint = np.flatnonzero(kind == 2)
+        if len(joint):
+            self._keep(at[joint], *self._rows([new[i] for i in joint]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); null counts as empty."""
@@ -131,24 +135,27 @@ class MemoTokenizer:
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # some string kernels misread the data of slices
         if len(self.codes) > MEMO or self.letters > MEMO_LETTERS:
             self._reset()
         cut = texts
         for what, by in ((" ", "\0 "), ("\n", "\0\n\0")):
             cut = pc.replace_substring(cut, what, by)
         lists = pc.split_pattern(cut, "\0")
-        pieces, borders = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        pieces, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         direct = set(np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)).tolist())
         coded = pieces.dictionary_encode()
-        known = np.fromiter(map(self.codes.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        if self.codes.new:
-            self._learn()
+        distinct = coded.dictionary.to_pylist()
+        known = list(map(self.codes.get, distinct))
+        if None in known:
+            self._learn([p for p, k in zip(distinct, known, strict=True) if k is None])
+            known = list(map(self.codes.__getitem__, distinct))
+        known = np.array(known, dtype=np.int64)
         codes = known[coded.indices.to_numpy()]
-        counts = np.diff(borders)
         # a line feed at the very end leaves an empty piece behind it
         tail = pc.ends_with(texts, "\n").to_numpy(zero_copy_only=False)
         keep = np.ones(len(codes), bool)
-        keep[borders[1:][tail] - 1] = False
+        keep[np.cumsum(counts)[tail] - 1] = False
         codes, counts = codes[keep], counts - tail
         size, start = self.size[codes], self.start[codes]
         direct.update(np.unique(np.repeat(np.arange(len(texts)), counts)[start < 0]).tolist())
@@ -163,3 +170,13 @@ class MemoTokenizer:
         for i, row in zip(whole, self._direct(texts.take(pa.array(whole)).to_pylist()), strict=True):
             rows[i] = row
         return np.concatenate(rows).astype(np.uint32), np.array([len(r) for r in rows], dtype=np.int64)
+
+
+_shared: dict[str, MemoTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> MemoTokenizer:
+    """The tokenizer of this Python worker, kept with its memo for the worker's later tasks."""
+    if path not in _shared:
+        _shared[path] = MemoTokenizer(path)
+    return _shared[path]
