@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, pii, quality, token_files, topk, url_filter
+from . import line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_files, topk, url_filter
 
 _MODULES = {
     "op1_topk": topk,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_packing": packing,
     "op8_url_filter": url_filter,
     "op9_mixing": mixing,
+    "op10_suffix_dedup": suffix_dedup,
 }
 
 
