@@ -95,7 +95,7 @@ def decode_varint(wire: Column, offset: Column | int = 0, bits: int = 64, canoni
     short = (F.octet_length(wire) <= at) | (F.octet_length(wire) < at + 1 + size)
     wrong = (head > 127) & ((size < 1) | (size > bits // 8))
     if canonical:
-        wrong = wrong | ((head > 127) & ((F.substring(body, -2, 2) == "00") | value.between(0, 127)))
+        wrong = wrong | (~short & (head > 127) & ((F.substring(body, -2, 2) == "00") | value.between(0, 127)))
     error = F.when(F.octet_length(wire) <= at, "ReaderOutOfData").when(wrong, "InvalidData").when(short, "ReaderOutOfData")
     return F.struct(
         F.when(error.isNull(), F.when(head < 128, head.cast("long")).otherwise(value)).alias("value"),

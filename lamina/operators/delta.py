@@ -26,7 +26,7 @@ def with_previous(rows: DataFrame, key: str | list[str], order_by: str, blob: st
 
 
 def _delta_udf(strict_min: bool):
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for old, new in pairs:
             yield pd.Series([None if b is None else deltas.delta(None if a is None else bytes(a), bytes(b), strict_min) for a, b in zip(old, new, strict=True)], dtype=object)
@@ -99,7 +99,7 @@ def patch_stats(previous: Column, blob: Column) -> Column:
     return run(previous, blob)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xor_hex(old: pd.Series, new: pd.Series) -> pd.Series:
     """Exclusive-or of two blobs, the shorter filled up with zeros (hex)."""
     return pd.Series([None if a is None or b is None else deltas.exclusive_or(bytes(a), bytes(b)).hex().upper() for a, b in zip(old, new, strict=True)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import wire as w
 from ..functions.varint import varint_hex
@@ -36,7 +37,7 @@ def raw_hex(data: Column) -> Column:
     return F.concat(varint_hex(F.octet_length(data).cast("long") * 2), F.hex(data))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _shorter(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else w.flagged(bytes(x)).hex().upper())
 
@@ -62,12 +63,12 @@ def flagged_header_len(payload_len: Column) -> Column:
     return varint_len(payload_len.cast("long") * 2)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _read(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else w.BYTES.loads(bytes(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _read_text(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else w.STR.loads(bytes(x)))
 

@@ -27,7 +27,7 @@ _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
 def _float_udf(kind: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def bits(values: pd.Series) -> pd.Series:
         raw = values.to_numpy(dtype=kind)
         text = raw.view(np.uint8).reshape(len(raw), raw.dtype.itemsize)
@@ -41,12 +41,12 @@ def float_hex(value: Column, bits: int = 64) -> Column:
     return _float_udf("<f4" if bits == 32 else "<f8")(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _float_list_hex(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes().hex().upper())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _double_list_hex(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f8").tobytes().hex().upper())
 
