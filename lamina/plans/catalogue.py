@@ -361,12 +361,12 @@ def delta_mode_report(spark, sf_dir):
     return done.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("b")).alias("raw_bytes"), F.sum(F.octet_length("wire")).alias("wire_bytes"))
 
 
-@_query("SELECT 'events' AS t, user_id AS k, event_id AS at, hex(encode(props)) AS blob_hex FROM events UNION ALL SELECT 'conversations', conv_id, turn, hex(encode(text)) FROM conversations")
+@_query("SELECT 'events' AS t, user_id AS k, event_id AS pos, hex(encode(props)) AS blob_hex FROM events UNION ALL SELECT 'conversations', conv_id, turn, hex(encode(text)) FROM conversations")
 def delta_roundtrip(spark, sf_dir):
     out = None
     for table, key, at, text in (("events", "user_id", "event_id", "props"), ("conversations", "conv_id", "turn", "text")):
-        rows = _read(spark, sf_dir, table).select(F.lit(table).alias("t"), F.col(key).alias("k"), F.col(at).cast("long").alias("at"), F.col(text).cast("binary").alias("b"))
-        back = delta.decode(delta.encode(rows, "k", "at", "b").drop("b", "mode"), "k", "at").select("t", "k", "at", F.hex("blob").alias("blob_hex"))
+        rows = _read(spark, sf_dir, table).select(F.lit(table).alias("t"), F.col(key).alias("k"), F.col(at).cast("long").alias("pos"), F.col(text).cast("binary").alias("b"))
+        back = delta.decode(delta.encode(rows, "k", "pos", "b").drop("b", "mode"), "k", "pos").select("t", "k", "pos", F.hex("blob").alias("blob_hex"))
         out = back if out is None else out.union(back)
     return out
 
