@@ -25,7 +25,7 @@ _EXACT = 2**53
 def quantise(values: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x), x as double; beyond a long it is an error, as no long could hold a score of it."""
     whole = np.floor(values.astype(np.float64) * scale)
-    if len(whole) and np.abs(whole).max() >= 2.0**62:
+    if np.abs(whole).max(initial=0) >= 2.0**62:
         raise OverflowError(f"{scale} times a component does not fit a long")
     return whole.astype(np.int64)
 
