@@ -53,7 +53,7 @@ def _discard_all() -> None:
     _staged.clear()
 
 
-def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df once under the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)

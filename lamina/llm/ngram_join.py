@@ -1,8 +1,10 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact to the last link.
 
 Documents with equal shingle sets are one class.  Sizes are cut into bands so that only equal and neighbouring bands can
-hold a pair similar enough.  A pair of such sizes differs in at most d shingles, so of d + 2 segments of the hash range
-at least two are equal in both: segments are the keys that gather classes into candidate blocks (connected, not paired).
+hold a pair similar enough.  A pair of such sizes differs in at most d shingles, so of more than d segments of the
+hash range some are equal in both: segments are the keys that bring classes together.  The few classes of a small group are
+paired and each pair is held against its bound by bitmaps; those of a large one are chained to its first.  What is then
+connected makes up a candidate block.
 Within a block, tiles of a bounded number of classes of a band meet the tiles of their own and the next band.  In a
 tile every class has a bitmap; the bits set in one and not in the other count shingles that it alone has, which bounds
 the intersection from above; pairs that pass are intersected exactly as sorted arrays.  Classes already connected are
@@ -25,9 +27,11 @@ from .common import bounded_broadcast, partitions, read_table, stage
 from .components import components
 
 #: A tile has at most this many classes and (but for one larger class) shingles.
-TILE_CLASSES, TILE_SHINGLES = 1024, 2_000_000
+TILE_CLASSES, TILE_SHINGLES = 4096, 6_000_000
+#: Groups of a key of at most this many classes are paired, larger ones chained.
+PAIRED = 24
 #: Keys that a task holds before it hands them on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 _U = np.uint64
 
 
@@ -82,6 +86,9 @@ class Bands:
 
     def __init__(self, least: Fraction, top: int = 1 << 33):
         self.least, lows = least, [1]
+        if least >= 1:  # only equal sets are linked, and those are one class
+            self.lows, self.apart = np.array([1, top]), [0, 0]
+            return
         while lows[-1] < top:
             step = lows[-1] / least
             lows.append(max(lows[-1] + 1, -(-step.numerator // step.denominator)))
@@ -102,12 +109,13 @@ class Bands:
         for tile in (band, band + 1):
             if not self.apart[tile]:
                 continue  # only equal sets can be linked
-            m = self.apart[tile] + 2
+            spare = 2 + self.apart[tile] // 16  # equal segments beyond the first; more empty ones than these are rare
+            m = self.apart[tile] + 1 + spare
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
             at = np.concatenate(([0], np.searchsorted(shingles, edges), [len(shingles)]))
             full = at[1:] > at[:-1]
-            if m - full.sum() >= 2:
-                full[:] = True  # two equal empty segments could be all that a pair has in common
+            if m - full.sum() > spare:
+                full[:] = True  # equal empty segments could be all that a pair has in common
             names = _mix(np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(tile + 1))
             out.append(_mix((total[at[1:]] - total[at[:-1]]) * _U(0xD6E8FEB86659FD93) + names)[full])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -124,6 +132,26 @@ def linked(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return least.denominator * common >= least.numerator * (len(a) + len(b) - common)
 
 
+def bitmap(shingles: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bits of the shingles' hashes, in a power of two of bits not below their number (64 to 65536)."""
+    if bits is None:
+        bits = 1 << max(6, min(16, (len(shingles) - 1).bit_length() if len(shingles) else 0))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    place = shingles % _U(bits)
+    np.bitwise_or.at(out, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+    return out
+
+
+def may_link(na: int, a: np.ndarray, nb: int, b: np.ndarray, least: Fraction) -> bool:
+    """False only if the bitmaps show that sets of na and nb shingles cannot be similar enough."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+    return most > 0 and least.denominator * most >= least.numerator * (na + nb - most)
+
+
 def forest(names: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
     """Edges that connect exactly the sets that links connect; each set meets only sets that are not yet connected."""
     n = len(sets)
@@ -131,10 +159,7 @@ def forest(names: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     bits = 64
     while bits < size.max(initial=0) and bits < 1 << 16:
         bits *= 2
-    maps = np.zeros((n, bits // 64), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        place = s % _U(bits)
-        np.bitwise_or.at(maps[i], (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+    maps = np.stack([bitmap(s, bits) for s in sets]) if n else np.zeros((0, 1), dtype=np.uint64)
     ratio = float(least)
     rest = np.argsort(size, kind="stable")
     out = []
@@ -155,7 +180,8 @@ def forest(names: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     return out
 
 
-_MIXED = "kind int, a long, b long, n int, bucket int, keys binary, places binary"
+_MIXED = "kind int, a long, b long, n int, bits binary, bucket int, keys binary, places binary, hot binary"
+_FOUND = "kind int, a long, b long, n int, bits binary"
 _signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
@@ -164,21 +190,21 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 def _reader(k: int, least: Fraction, buckets: int):
-    """documents -> kind 0: a = id, b = class (null: no shingle), n; kind 1: packed keys of a bucket; kind 2: edge a, b."""
+    """documents -> kind 0: a = id, b = class (null: no shingle), n, bits; kind 1: packed keys of a bucket; kind 2: edge."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(k), Bands(least)
         keys, owners, held, turn = [], [], 0, 0
         seen: set[int] = set()
 
-        def rows(kind, a, b, n=None, bucket=None, packed=None, places=None):
+        def rows(kind, a, b, n=None, bits=None, bucket=None, packed=None, places=None, hot=None):
             size = len(a)
             none = lambda t: pa.nulls(size, t)
             return pa.RecordBatch.from_arrays([
                 pa.array(np.full(size, kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64()),
-                none(pa.int32()) if n is None else pa.array(n, pa.int32()), pa.array(bucket, pa.int32()),
-                none(pa.binary()) if packed is None else pa.array(packed, pa.binary()), none(pa.binary()) if places is None else pa.array(places, pa.binary()),
-            ], names=["kind", "a", "b", "n", "bucket", "keys", "places"])
+                none(pa.int32()) if n is None else pa.array(n, pa.int32()), none(pa.binary()) if bits is None else pa.array(bits, pa.binary()), pa.array(bucket, pa.int32()),
+                *[none(pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (packed, places, hot)],
+            ], names=["kind", "a", "b", "n", "bits", "bucket", "keys", "places", "hot"])
 
         def flush():
             nonlocal keys, owners, held
@@ -187,17 +213,23 @@ def _reader(k: int, least: Fraction, buckets: int):
             key, owner = np.concatenate(keys), np.concatenate(owners)
             keys, owners, held = [], [], 0
             seen.clear()
-            key, owner, edges = first_of_each(key, owner)
+            # a large group is chained here and handed on as its first class alone
+            key, owner, first, size = grouped(key, owner)
+            hot = size > PAIRED
+            edges = distinct_pairs(owner[hot & ~first], leaders(owner, first)[hot & ~first])
             if len(edges):
                 yield rows(2, _signed(edges[:, 0]), _signed(edges[:, 1]), bucket=np.arange(len(edges)) % buckets)
+            stay = first | ~hot
+            key, owner, hot = key[stay], owner[stay], hot[stay]
             which = key % _U(buckets)
             order = np.argsort(which, kind="stable")
-            key, owner = key[order], owner[order]
+            key, owner, hot = key[order], owner[order], hot[order]
             cut = np.searchsorted(which[order], np.arange(buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             for some in np.array_split(full, max(1, len(full) // 64)):
                 if len(some):
-                    yield rows(1, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), bucket=some, packed=[key[cut[i] : cut[i + 1]].tobytes() for i in some], places=[owner[cut[i] : cut[i + 1]].tobytes() for i in some])
+                    parts = [[x[cut[i] : cut[i + 1]].tobytes() for i in some] for x in (key, owner, hot)]
+                    yield rows(1, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), bucket=some, packed=parts[0], places=parts[1], hot=parts[2])
 
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
@@ -205,7 +237,7 @@ def _reader(k: int, least: Fraction, buckets: int):
                 sets = shingler.sets(part.column(1))
                 classes = np.array([_class_of(s) if len(s) else 0 for s in sets], dtype=np.uint64)
                 size = np.array([len(s) for s in sets], dtype=np.int32)
-                yield rows(0, part.column(0), pa.array(_signed(classes), mask=size == 0), size, (np.arange(len(sets)) + turn) % buckets)
+                yield rows(0, part.column(0), pa.array(_signed(classes), mask=size == 0), size, [bitmap(x).tobytes() for x in sets], (np.arange(len(sets)) + turn) % buckets)
                 turn += len(sets)
                 for name, s in zip(classes.tolist(), sets, strict=True):
                     if len(s) and name not in seen:
@@ -221,36 +253,80 @@ def _reader(k: int, least: Fraction, buckets: int):
     return read
 
 
-def first_of_each(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, the first owner of each, distinct edges from other owners of a key to its first)."""
+def grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key: key, owner, whether it is the key's first, and the size of its group."""
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = owner[new][np.cumsum(new) - 1] if len(key) else owner
-    apart = owner != first
-    edges = np.stack([owner[apart], first[apart]], axis=1)
-    if len(edges):
-        edges = np.unique(np.ascontiguousarray(edges).view([("u", "<u8"), ("v", "<u8")]).ravel())
-        edges = np.stack([edges["u"], edges["v"]], axis=1)
-    return key[new], owner[new], edges
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    size = np.diff(np.concatenate((at, [len(key)])))
+    return key, owner, first, np.repeat(size, size)
+
+
+def leaders(owner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row the owner that is first in its group."""
+    return owner[first][np.cumsum(first) - 1] if len(owner) else owner
+
+
+def distinct_pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows (u, v), each once, without loops; the larger first."""
+    apart = u != v
+    pairs = np.stack([np.maximum(u, v)[apart], np.minimum(u, v)[apart]], axis=1)
+    if not len(pairs):
+        return pairs
+    named = np.unique(np.ascontiguousarray(pairs).view([("u", "<u8"), ("v", "<u8")]).ravel())
+    return np.stack([named["u"], named["v"]], axis=1)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents and edges on; keys of the task's buckets become edges."""
-    names = ["kind", "a", "b", "n"]
-    keys, owners = [], []
+    """Passes documents and edges on; keys of the task's buckets become pairs (kind 3) or, of large groups, edges."""
+    names = ["kind", "a", "b", "n", "bits"]
+    held: list[list] = [[], [], []]
     for batch in batches:
         packed = pc.equal(batch.column(0), 1).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(packed):
-            keys.append(np.frombuffer(batch.column(5)[i].as_py(), np.uint64))
-            owners.append(np.frombuffer(batch.column(6)[i].as_py(), np.uint64))
+            for k, kind in enumerate((np.uint64, np.uint64, bool)):
+                held[k].append(np.frombuffer(batch.column(6 + k)[i].as_py(), kind))
         if not packed.all():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[:4], names=names)
-    if keys:
-        edges = first_of_each(np.concatenate(keys), np.concatenate(owners))[2]
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), 2, np.int32)), pa.array(_signed(edges[:, 0].copy())), pa.array(_signed(edges[:, 1].copy())), pa.nulls(len(edges), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[:5], names=names)
+    if not held[0]:
+        return
+    key, owner, hot = map(np.concatenate, held)
+    hot_keys = np.unique(key[hot])
+    key, owner, first, size = grouped(key, owner)
+    chained = (size > PAIRED) | np.isin(key, hot_keys)
+    edges = distinct_pairs(owner[chained & ~first], leaders(owner, first)[chained & ~first])
+    few_key, few_owner = key[~chained], owner[~chained]
+    pairs = []
+    for step in range(1, PAIRED):  # the classes of a key stand side by side
+        same = few_key[step:] == few_key[:-step]
+        if not same.any():
+            break
+        pairs.append(distinct_pairs(few_owner[step:][same], few_owner[:-step][same]))
+    pairs = np.concatenate(pairs) if pairs else edges[:0]
+    pairs = distinct_pairs(pairs[:, 0], pairs[:, 1])
+    for kind, rows in ((2, edges), (3, pairs)):
+        for some in np.array_split(rows, max(1, len(rows) // 100_000)):
+            if len(some):
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(_signed(some[:, 0].copy())), pa.array(_signed(some[:, 1].copy())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+
+
+def _within(least: Fraction):
+    """(a, b, na, nb, bits_a, bits_b) -> (u, v) of the pairs whose bitmaps don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                keep[i] = may_link(int(na[i]), x, int(nb[i]), y, least)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return run
 
 
 def _tiles(blocks: DataFrame, bands: Bands) -> DataFrame:
@@ -313,11 +389,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction = Fraction(9
     spark = docs.sparkSession
     tasks = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    mixed = rows.mapInArrow(_reader(k, least, 4 * tasks), _MIXED).repartition(tasks, "bucket").mapInArrow(_meet, "kind int, a long, b long, n int")
+    mixed = rows.mapInArrow(_reader(k, least, 4 * tasks), _MIXED).repartition(tasks, "bucket").mapInArrow(_meet, _FOUND)
     mixed = stage(mixed, "join-documents")
     found = mixed.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
-    blocks = components(mixed.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    links = _links(rows, found, blocks, k, least)
+    # one row per class; partial aggregates take care of a class with very many documents
+    classes = mixed.filter("kind = 0 and b is not null").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    classes = stage(classes, "join-classes")
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = mixed.filter("kind = 3").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    edges = pairs.mapInArrow(_within(least), "u long, v long").union(mixed.filter("kind = 2").select("a", "b"))
+    blocks = components(edges)
+    links = _links(rows, classes.drop("bits"), blocks, k, least)
     roots = components(links)
     table, few = bounded_broadcast(roots.withColumnsRenamed({"node": "class"}), 1_000_000)
     rooted = stage(found.join(table, "class", "left").select("id", "n", F.coalesce("root", "class").alias("root")), "join-roots")
@@ -326,11 +408,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction = Fraction(9
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _links(rows: DataFrame, found: DataFrame, blocks: DataFrame, k: int, least: Fraction) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, least: Fraction) -> DataFrame:
     """Edges (u, v) of classes whose components are those of all links; blocks: (node, root) of the candidates."""
     tasks = partitions(rows.sparkSession)
-    candidates = found.join(blocks.select(F.col("node").alias("class"), F.col("root").alias("block")), "class")
-    candidates = stage(candidates.groupBy("class", "block").agg(F.min("id").alias("id"), F.max("n").alias("n")), "join-candidates")
+    candidates = stage(classes.join(blocks.select(F.col("node").alias("class"), F.col("root").alias("block")), "class"), "join-candidates")
     tiles = stage(_tiles(candidates.select("class", "block", "n"), Bands(least)), "join-tiles")
     wanted, _ = bounded_broadcast(candidates.select("id", F.col("class").alias("wanted")), 1_000_000)
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "wanted")
@@ -355,6 +436,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def oracle() -> str:
+    return """
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, y FROM reach JOIN both_ways ON b = x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id)
+  JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which one document of each group of linked ones stays: that of the smallest id.
 

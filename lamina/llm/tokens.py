@@ -16,12 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept per worker; beyond it a new memo starts, with the last one behind it.  Bounds memory, never changes an id.
-MEMO = 400_000
-MEMO_LETTERS = 20_000_000
+MEMO = 250_000
+MEMO_LETTERS = 12_000_000
 #: New pieces to a call of the library.
 GROUP = 64
 #: Bytes of text cut at a time.
-SLICE = 8_000_000
+SLICE = 3_000_000
 
 
 class MemoTokenizer:
