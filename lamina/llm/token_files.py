@@ -24,7 +24,7 @@ from .tokens import shared_tokenizer
 
 LANES, SEGMENT = 512, 1 << 16
 #: A frame is closed when it has this many tokens; a longer document makes a longer frame.
-FRAME = 1 << 18
+FRAME = 1 << 20
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
 
@@ -115,20 +115,27 @@ def decode_frame(model: RangeModel, n: int, words: np.ndarray, starts: np.ndarra
 _FRAME = "shard int, frame int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>"
 
 
-def _framer(path: str, end_id: int | None, width: str):
+def _framer(path: str, end_id: int | None, width: str, top: int):
+    """Frames of whole documents; the last row of a task, frame -1, has its counts of ids below top."""
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, frame, first = TaskContext.get().partitionId(), 0, 0
         tokenizer = shared_tokenizer(path)
         names, sizes, held, total = [], [], [], 0
+        seen = np.zeros(top, dtype="<i8")
+
+        def row(number: int, data: bytes) -> pa.RecordBatch:
+            cells = [([shard], pa.int32()), ([number], pa.int32()), ([first], pa.int64()), ([total], pa.int64()), ([names], pa.list_(pa.int64())), ([sizes], pa.list_(pa.int64())), ([data], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cells], names=["shard", "frame", "first", "n_tokens", "doc_ids", "doc_tokens", "ids"])
 
         def close() -> pa.RecordBatch:
             nonlocal names, sizes, held, total, frame, first
-            cells = (pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary()))
+            out = row(frame, b"".join(held))
             frame, first = frame + 1, first + total
             names, sizes, held, total = [], [], [], 0
-            return pa.RecordBatch.from_arrays(list(cells), names=["shard", "frame", "first", "n_tokens", "doc_ids", "doc_tokens", "ids"])
+            return out
 
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -136,6 +143,7 @@ def _framer(path: str, end_id: int | None, width: str):
                 ids, size = tokenizer.encode(some.column(1))
                 if end_id is not None:
                     ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+                seen += np.bincount(ids, minlength=top)
                 ids, ends = ids.astype(width), np.cumsum(size)
                 who = some.column(0).to_pylist()
                 i = 0
@@ -151,6 +159,7 @@ def _framer(path: str, end_id: int | None, width: str):
                     i = j
         if names:
             yield close()
+        yield row(-1, seen.tobytes())
 
     return frames
 
@@ -168,17 +177,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     width = "<u2" if top <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
-    frames = stage(rows.mapInArrow(_framer(tokenizer_path, end_id, width), _FRAME + ", ids binary"), "token-frames")
+    staged = stage(rows.mapInArrow(_framer(tokenizer_path, end_id, width, top), _FRAME + ", ids binary"), "token-frames", "zstd")
+    frames = staged.filter("frame >= 0")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(top, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=top)
+                seen += np.frombuffer(x.as_buffer(), "<i8")
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["id", "n"])
 
-    counts = frames.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row per id of the vocabulary
+    counts = staged.filter("frame < 0").select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row per id of the vocabulary
     model = RangeModel.fit(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     table = [(int(i), int(f)) for i, f in zip(model.ids, model.freqs, strict=True)]
     spark.createDataFrame(table, "id long, freq long").coalesce(1).write.parquet(f"{folder}/model")
@@ -199,7 +209,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     shards = frames.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     shards.withColumn("start", before).coalesce(1).write.parquet(f"{folder}/shards")  # one row per shard
-    discard(spark, frames._lamina_path)
+    discard(spark, staged._lamina_path)
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
