@@ -10,6 +10,7 @@ symbols is sorted in one task.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,18 @@ from pyspark.sql import functions as F
 from .common import drop_staged, partitions, stage
 
 #: Symbols that one task sorts; a constant, whatever the string's length.
-BASE = 1_000_000
+BASE = 100_000
 #: Positions to a window; two more are seen behind it.
 BLOCK = 3 << 14
 NONE = -(2**63)
 
 
+def collect_garbage(spark) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sort_small(i: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Ranks (from 1) of the suffixes at ascending positions i, by prefix doubling."""
     _, rank = np.unique(s, return_inverse=True)
@@ -62,12 +69,11 @@ def _follow(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
     return both.select("*", *[at(c, d).alias(n) for n, (c, d) in columns.items()]).filter("_own").drop("_b", "_own")
 
 
-def _sorted_parts(rows: DataFrame, keys: list[str], flags: list[str]) -> tuple[DataFrame, DataFrame]:
+def _sorted_parts(rows: DataFrame, keys: list[str], flags: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
     """rows staged in range order with part, name (dense rank of the keys within the part) and, for each 0/1 flag, its
     count before the row within the part; and the parts' totals."""
     names = [*keys, "i", *flags]
-    kinds = ", ".join(f"{n} long" for n in names)
-    ordered = rows.select(*[F.col(n).cast("long") for n in names]).repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    ordered = rows.select(*[F.col(n).cast("long") for n in names]).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -91,7 +97,6 @@ def _sorted_parts(rows: DataFrame, keys: list[str], flags: list[str]) -> tuple[D
             yield pa.RecordBatch.from_arrays([*batch.columns[len(keys) :], pa.array(here), *counts, pa.array(np.full(batch.num_rows, part, np.int64))], names=["i", *flags, "name", *[f"{f}_before" for f in flags], "part"])
 
     out = stage(ordered.mapInArrow(number, ", ".join(["i long", *[f"{f} long" for f in flags], "name long", *[f"{f}_before long" for f in flags], "part long"])), "suffix-sorted")
-    assert kinds
     totals = out.groupBy("part").agg(F.max("name").alias("name"), F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in flags]).orderBy("part").collect()  # a row per part
     return out, totals
 
@@ -121,11 +126,12 @@ def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:
 
         return stage(text.coalesce(1).mapInArrow(run, "i long, r long"), "suffix-base")
 
+    parts = max(1, min(partitions(text.sparkSession), -(-total // 20_000)))
     # names of the sampled triples
     low = F.lit(NONE).cast("long")
     triples = _follow(text, {"s1": ("s", 1), "s2": ("s", 2)}).filter(F.pmod("i", F.lit(3)) != 0)
     triples = triples.select("i", "s", F.coalesce("s1", low).alias("s1"), F.coalesce("s2", low).alias("s2"))
-    named, totals = _sorted_parts(triples, ["s", "s1", "s2"], [])
+    named, totals = _sorted_parts(triples, ["s", "s1", "s2"], [], parts)
     names = named.select("i", (F.col("name") + _offset(totals, "name")).alias("r"))
     if sum(t["name"] for t in totals) < sum(t["n"] for t in totals):
         # recurse on the names: positions 3q + 1 in order, then positions 3q + 2
@@ -141,8 +147,8 @@ def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:
     # merge the others
     full = _follow(text.join(sample, "i", "left"), {"s1": ("s", 1), "r1": ("r", 1), "r2": ("r", 2)})
     full = stage(full.withColumns({"s1": F.coalesce("s1", low), "r1": F.coalesce("r1", F.lit(0)), "r2": F.coalesce("r2", F.lit(0)), "zero": (F.pmod("i", F.lit(3)) == 0).cast("long"), "other": (F.pmod("i", F.lit(3)) != 0).cast("long")}), "suffix-merge")
-    one, one_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 2), ["s", "r1"], ["zero", "other"])
-    two, two_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 1), ["s", "s1", "r2"], ["zero", "other"])
+    one, one_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 2), ["s", "r1"], ["zero", "other"], parts)
+    two, two_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 1), ["s", "s1", "r2"], ["zero", "other"], parts)
     count = lambda rows, totals: rows.select("i", (F.col("zero_before") + _offset(totals, "zero")).alias("zeros"), (F.col("other_before") + _offset(totals, "other")).alias("others"), "zero")
     first, second = count(one, one_totals), count(two, two_totals)
     mixed = first.filter("zero = 1").join(second.filter("zero = 1").select("i", F.col("others").alias("more")), "i").select("i", (F.col("zeros") + F.col("others") + F.col("more") + 1).alias("r"))
@@ -150,4 +156,6 @@ def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:
     out = stage(mixed.union(sampled), "suffix-ranks")
     for old in (named, full, one, two, *([ranks] if ranks is not None else [])):
         drop_staged(old)
+    del triples, named, names, full, one, two, first, second, mixed, sampled, ranks, sample
+    collect_garbage(text.sparkSession)
     return out

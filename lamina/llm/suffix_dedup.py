@@ -1,7 +1,8 @@
 """Suffix-array dedup: every byte that lies in a string of `length` bytes which also starts anywhere else is removed.
 
 1. Texts are cut where the hash of 16 bytes says so: equal strings are cut alike inside.  Pieces (phrases) get names;
-   phrases whose name stands once cannot lie inside a repeated string and break the string of names.
+   phrases whose name stands once cannot lie inside a repeated string.  The string of names is made of the runs of
+   repeated phrases that are long enough to hold a window.
 2. The distributed difference-cover algorithm (suffix_array.py) sorts the suffixes of the string of names.
 3. Adjacent suffixes are compared by the fingerprint of their prefix, as far as windows that start in the first phrase
    can reach.  Equal neighbours: every window that starts in the phrase is repeated.  The first suffix of a run of equal
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, drop_staged, partitions, read_table, stage
-from .suffix_array import suffix_ranks
+from .common import drop_staged, partitions, read_table, stage
+from .suffix_array import collect_garbage, suffix_ranks
 
 LENGTH = 400
 #: Bytes that decide on a cut, and the mean distance of cuts.
-GRAM, EVERY = 16, 48
+GRAM, EVERY = 16, 64
 #: Starts to a block of edge windows.
 STARTS = 64
 _U = np.uint64
@@ -96,32 +97,35 @@ class Hashed:
 _read_schema = "did long, id long, text binary, cuts array<int>, names array<long>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    part, n, powers = TaskContext.get().partitionId(), 0, _Powers()
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            some = batch.slice(low, 256)
-            cuts, names, dids = [], [], []
-            for text in some.column(1):
-                data = text.as_py() or b""
-                if part >= 1 << 16 or n >= 1 << 22:
-                    raise ValueError("more documents in a partition than can be numbered: read in smaller partitions")
-                dids.append((part << 22) + n)
-                n += 1
-                if len(data) < LENGTH:  # no window: takes no part
-                    cuts.append(np.zeros(0, np.int32))
-                    names.append(np.zeros(0, np.int64))
-                    continue
-                hashed = Hashed(data, powers)
-                c = hashed.cuts()
-                if len(c) > 1 << _PHRASES:
-                    raise ValueError("a text with too many phrases")
-                cuts.append(c.astype(np.int32))
-                names.append(hashed.names(c).view(np.int64))
-            lists = lambda rows, t: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)), pa.array(np.concatenate(rows), t))
-            yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), some.column(0), some.column(1), lists(cuts, pa.int32()), lists(names, pa.int64())], names=["did", "id", "text", "cuts", "names"])
+        part, n, powers = TaskContext.get().partitionId(), 0, _Powers()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                cuts, names, dids = [], [], []
+                for text in some.column(1):
+                    data = text.as_py() or b""
+                    if part >= 1 << 16 or n >= 1 << 22:
+                        raise ValueError("more documents in a partition than can be numbered: read in smaller partitions")
+                    dids.append((part << 22) + n)
+                    n += 1
+                    if len(data) < length:  # no window: takes no part
+                        cuts.append(np.zeros(0, np.int32))
+                        names.append(np.zeros(0, np.int64))
+                        continue
+                    hashed = Hashed(data, powers)
+                    c = hashed.cuts()
+                    if len(c) > 1 << _PHRASES:
+                        raise ValueError("a text with too many phrases")
+                    cuts.append(c.astype(np.int32))
+                    names.append(hashed.names(c).view(np.int64))
+                lists = lambda rows, t: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)), pa.array(np.concatenate(rows), t))
+                yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), some.column(0), some.column(1), lists(cuts, pa.int32()), lists(names, pa.int64())], names=["did", "id", "text", "cuts", "names"])
+
+    return run
 
 
 def _post(buckets: int):
@@ -160,7 +164,7 @@ def _post(buckets: int):
             j = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             held.append((names.flatten().to_numpy(), (np.repeat(did, size) << _PHRASES) + j))
             total += len(j)
-            if total > 2_000_000:
+            if total > 1_000_000:
                 yield from flush()
         yield from flush()
 
@@ -195,19 +199,23 @@ def _reach(cuts: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(np.searchsorted(cuts, cuts[1:] + length), len(cuts) - 1)
 
 
-def _prefixes(length: int):
-    """(cuts, names, found: (j, r) of repeated phrases) of a document -> (r, i, print) of each such suffix; print null if
-    its prefix holds a phrase that stands once."""
+def _string(length: int):
+    """(did, cuts, names, j of repeated phrases) -> (i, s, print): the string of names, a unique symbol (its own place)
+    behind every run; print is the fingerprint of the suffix's prefix, null if that holds a phrase that stands once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
                 did, cuts, names = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy().astype(np.int64), batch.column(2)[k].values.to_numpy().view(np.uint64)
-                found = batch.column(3)[k].values
-                j, r = found.field(0).to_numpy(), found.field(1).to_numpy()
-                order = np.argsort(j)
-                j, r = j[order].astype(np.int64), r[order]
+                j = np.sort(batch.column(3)[k].values.to_numpy()).astype(np.int64)
+                first = np.concatenate(([True], np.diff(j) > 1))
+                last = np.concatenate((first[1:], [True]))
+                run_of = np.cumsum(first) - 1
+                long = cuts[j[last] + 1] - cuts[j[first]] >= length
+                j, ends = j[long[run_of]], j[last][long] + 1
+                if not len(j):
+                    continue
                 have = np.zeros(len(names) + 1, dtype=np.int64)
                 have[j + 1] = 1
                 have = np.cumsum(have)
@@ -217,18 +225,20 @@ def _prefixes(length: int):
                 weight = np.cumprod(np.full(len(names) + 1, _MULT, np.uint64), dtype=np.uint64)
                 back = np.cumprod(np.full(len(names) + 1, _INV, np.uint64), dtype=np.uint64)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * weight[:-1], dtype=np.uint64)))
-                mark = _mix((sums[end] - sums[j]) * back[j] + (end - j).astype(np.uint64))
-                out.append((r, (did << _PHRASES) + j, mark.view(np.int64), ~whole))
+                mark = _mix((sums[end] - sums[j]) * back[j] + (end - j).astype(np.uint64)).view(np.int64)
+                at, stop = (did << _PHRASES) + j, (did << _PHRASES) + ends
+                out.append((at, (names[j] >> _U(2)).view(np.int64), mark, ~whole))
+                out.append((stop, -stop - 1, np.zeros(len(stop), np.int64), np.ones(len(stop), bool)))
             if out:
-                r, i, mark, no = map(np.concatenate, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(i), pa.array(mark, mask=no)], names=["r", "i", "print"])
+                i, s, mark, no = map(np.concatenate, zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s), pa.array(mark, mask=no)], names=["i", "s", "print"])
 
     return run
 
 
 def _compare(prefixes: DataFrame) -> DataFrame:
-    """(i, state) of suffixes in order of rank: 0 none of the neighbours has the prefix, 1 one has and stands before, 2
-    this is the first of those that have it."""
+    """(i, state) of suffixes (r, i, print) with an equal neighbour: 1 the one before has the prefix, 2 only the one behind
+    has it, so this is the first of a run of equal ones."""
     from pyspark.sql import Window
 
     size = 1 << 15
@@ -237,7 +247,7 @@ def _compare(prefixes: DataFrame) -> DataFrame:
     window = Window.partitionBy("_b").orderBy("r")
     same = lambda k: F.coalesce((F.lag("print", k).over(window) == F.col("print")) & (F.lag("r", k).over(window) == F.col("r") - k), F.lit(False))
     state = F.when(same(1), 1).when(same(-1), 2).otherwise(0)
-    return rows.withColumn("state", state.cast("int")).filter("_b = _home").select("i", "state")
+    return rows.withColumn("state", state.cast("int")).filter("_b = _home and state > 0").select("i", "state")
 
 
 def _edges(cuts: np.ndarray, state: np.ndarray, length: int) -> np.ndarray:
@@ -285,8 +295,15 @@ def _states(n: int, packed: bytes | None) -> np.ndarray:
     return np.full(n, -1, dtype=np.int8) if packed is None else np.frombuffer(packed, np.int8)
 
 
+def _once(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, a start of each, all starts whose hash stands twice or more among these)."""
+    distinct, first, where, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return distinct, start[first], start[count[where] > 1]
+
+
 def _blocks(length: int):
-    """text, cuts, states -> kind 0: (key, did, j, b, edge) of blocks; kind 1: (hash, did, start) of windows without cut."""
+    """text, cuts, states -> kind 0: (key, did, j, b, edge) of blocks; kind 1: (hash, did, start) of windows without cut,
+    each content once; kind 2: (null, did, start) of those that stand twice in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
@@ -303,7 +320,8 @@ def _blocks(length: int):
                 hashed = Hashed(batch.column(1)[k].as_py(), powers)
                 j, b = edges[:, 0], edges[:, 1]
                 key = hashed.of(cuts[1:][j] - STARTS * b - 1, length - STARTS + 1) + b.astype(np.uint64)
-                for kind, h, x, y, z in ((0, key, j, b, state[j] < 1), (1, hashed.of(alone, length), alone, alone * 0, np.ones(len(alone), bool))):
+                one, at, twice = _once(hashed.of(alone, length), alone)
+                for kind, h, x, y, z in ((0, key, j, b, state[j] < 1), (1, one, at, at * 0, at >= 0), (2, np.zeros(len(twice), np.uint64), twice, twice * 0, twice >= 0)):
                     out.append((np.full(len(h), kind, np.int32), h.view(np.int64), np.full(len(h), did), x, y.astype(np.int32), z))
             if out:
                 cells = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -364,9 +382,12 @@ def _remove(length: int):
     return run
 
 
-def _with(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """docs joined with a row per document; broadcast if there are at most 200,000 of them (counted), else shuffled."""
-    return docs.join(bounded_broadcast(table, 200_000)[0], "did", how)
+def _with(docs: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
+    """docs joined with a staged row per document; broadcast if the column's cells are counted to hold at most 1.5 million
+    elements or bytes in 50,000 rows, else shuffled."""
+    held = F.octet_length(column) if table.schema[column].dataType.typeName() == "binary" else F.size(column) * 8
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(held.cast("long")), F.lit(0))).first()
+    return docs.join(F.broadcast(table) if n <= 50_000 and size <= 12_000_000 else table.hint("merge"), "did", how)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,50 +402,57 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     tasks = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    cut = stage(rows.mapInArrow(_cut, _read_schema), "repeat-texts")
+    cut = stage(rows.mapInArrow(_cut(length), _read_schema), "repeat-texts")
     posts = cut.select("did", "names").mapInArrow(_post(4 * tasks), "kind int, i long, s long, bucket int, packed binary")
     found = stage(posts.repartition(tasks, "bucket").mapInArrow(_repeated, "i long, s long"), "repeat-names")
 
-    # the string of names: a unique symbol, its own place, behind every run of repeated phrases
-    mask = (1 << 62) - 1
-    names = found.select("i", F.col("s").bitwiseAND(F.lit(mask)).alias("s"))
-    ends = found.select((F.col("i") + 1).alias("i")).join(found.select("i"), "i", "left_anti").select("i", (-F.col("i") - 1).alias("s"))
-    text = stage(names.union(ends), "repeat-string")
-    ranks = suffix_ranks(text)
-    ranks = ranks.filter("r is not null").join(found.select("i"), "i", "left_semi")
-    per_doc = ranks.groupBy(F.shiftright("i", _PHRASES).alias("did")).agg(F.collect_list(F.struct(F.col("i").bitwiseAND(F.lit((1 << _PHRASES) - 1)).cast("int").alias("j"), "r")).alias("found"))
-    prefixes = _with(cut.select("did", "cuts", "names"), stage(per_doc, "repeat-ranks"), "inner").select("did", "cuts", "names", "found")
-    prefixes = stage(prefixes.mapInArrow(_prefixes(length), "r long, i long, print long"), "repeat-prefixes")
-    states = _compare(prefixes).groupBy(F.shiftright("i", _PHRASES).alias("did")).agg(F.collect_list(F.struct(F.col("i").bitwiseAND(F.lit((1 << _PHRASES) - 1)).cast("int").alias("j"), "state")).alias("s"))
+    def by_doc(rows: DataFrame, value, name: str) -> DataFrame:
+        return rows.groupBy(F.shiftright("i", _PHRASES).alias("did")).agg(F.collect_list(value).alias(name))
+
+    phrase = F.col("i").bitwiseAND(F.lit((1 << _PHRASES) - 1)).cast("int")
+    per_doc = stage(by_doc(found, phrase, "found"), "repeat-phrases")
+    collect_garbage(spark)
+    text = _with(cut.select("did", "cuts", "names"), per_doc, "found", "inner").select("did", "cuts", "names", "found")
+    text = stage(text.mapInArrow(_string(length), "i long, s long, print long"), "repeat-string")
+    ranks = suffix_ranks(text.select("i", "s"))
+    prefixes = text.filter("print is not null").select("i", "print").join(ranks, "i").select("r", "i", "print")
+    equal = by_doc(_compare(prefixes), F.struct(phrase.alias("j"), "state"), "equal")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
                 state = np.full(batch.column(1)[k].as_py(), -1, dtype=np.int8)
-                s = batch.column(2)[k].values
-                state[s.field(0).to_numpy()] = s.field(1).to_numpy()
+                state[batch.column(2)[k].values.to_numpy()] = 0
+                if batch.column(3)[k].is_valid:
+                    s = batch.column(3)[k].values
+                    state[s.field(0).to_numpy()] = s.field(1).to_numpy()
                 out.append(state.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["did", "states"])
 
-    sized = cut.select("did", F.size("names").alias("n"))
-    states = stage(sized.join(states, "did").select("did", "n", "s").mapInArrow(pack, "did long, states binary"), "repeat-states")
-    for old in (text, prefixes):
+    sized = cut.select("did", F.size("names").alias("n")).join(per_doc, "did").join(equal, "did", "left")
+    states = stage(sized.select("did", "n", "found", "equal").mapInArrow(pack, "did long, states binary"), "repeat-states")
+    for old in (found, text, ranks, per_doc):
         drop_staged(old)
+    del posts, found, text, ranks, per_doc, prefixes, equal, sized
+    collect_garbage(spark)
 
-    marked = _with(cut.select("did", "text", "cuts"), states, "left").select("did", "text", "cuts", "states")
+    marked = _with(cut.select("did", "text", "cuts"), states, "states", "left").select("did", "text", "cuts", "states")
     blocks = stage(marked.mapInArrow(_blocks(length), "kind int, key long, did long, x long, b int, edge boolean"), "repeat-blocks")
     shared = blocks.filter("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("edge").alias("e")).filter("c > 1 and e").select("key")
     wanted = blocks.filter("kind = 0").join(stage(shared, "repeat-shared"), "key", "left_semi")
     wanted = stage(wanted.groupBy("did").agg(F.collect_list(F.struct(F.col("x").cast("int").alias("j"), "b")).alias("blocks")), "repeat-wanted")
-    single = _with(cut.select("did", "text", "cuts"), wanted, "inner").select("did", "text", "cuts", "blocks").mapInArrow(_windows(length), "key long, did long, x long")
+    single = _with(cut.select("did", "text", "cuts"), wanted, "blocks", "inner").select("did", "text", "cuts", "blocks").mapInArrow(_windows(length), "key long, did long, x long")
     single = stage(single.union(blocks.filter("kind = 1").select("key", "did", "x")), "repeat-windows")
     again = stage(single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "repeat-again")
-    starts = stage(single.join(again, "key", "left_semi").groupBy("did").agg(F.collect_list("x").alias("starts")), "repeat-starts")
+    flagged = single.join(again, "key", "left_semi").select("did", "x").union(blocks.filter("kind = 2").select("did", "x"))
+    starts = stage(flagged.groupBy("did").agg(F.collect_list("x").alias("starts")), "repeat-starts")
     for old in (blocks, single):
         drop_staged(old)
+    del marked, blocks, shared, wanted, single, again, flagged
+    collect_garbage(spark)
 
-    done = _with(_with(cut.select("did", "id", "text", "cuts"), states, "left"), starts, "left").select("id", "text", "cuts", "states", "starts")
+    done = _with(_with(cut.select("did", "id", "text", "cuts"), states, "states", "left"), starts, "starts", "left").select("id", "text", "cuts", "states", "starts")
     return done.mapInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
