@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
-from .tokens import shared_tokenizer
+from .common import bounded_broadcast, read_table, stage
+from .tokens import MEMO, release, shared_tokenizer
 
 CAPACITY, END_ID = 2048, 0
 #: Patterns of three and of four lengths that are enumerated, at most.
@@ -132,12 +132,12 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     return out + best_fit(left, capacity)
 
 
-def _pieces(tokenizer_path: str, capacity: int, end_id: int):
+def _pieces(tokenizer_path: str, capacity: int, end_id: int, memo: int, keep_memo: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokenizer = shared_tokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path, memo)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -161,19 +161,23 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int):
                 np.add.at(seen, length, 1)
                 cells = [some.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(cells, names=["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        if not keep_memo:
+            del tokenizer
+            release()
 
     return cut
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, keep_memo: bool = True) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only one longer than the capacity is cut.  Null texts count as empty (one id);
-    null and repeated ids are documents of their own; other columns are left out.  No rows: none.
+    null and repeated ids are documents of their own; other columns are left out.  No rows: none.  A worker's tokenizer
+    has a memo of at most memo pieces; keep_memo=False frees it after each task, for stages that need the memory.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stage(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")
+    pieces = stage(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, memo, keep_memo), "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")
     by_part = stage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")  # at most tasks times capacity rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     before = by_part.select("part", "length", before.alias("before"))
@@ -190,6 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             used[length] += repeats
             offset += length
         sequence += repeats
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = places.value
         for batch in batches:
@@ -204,7 +209,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     places = spark.sparkContext.broadcast({k: tuple(np.array(x) for x in zip(*v, strict=True)) for k, v in segments.items()})  # bounded by the capacity, not by the corpus
-    ranked = pieces.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    before, few = bounded_broadcast(before, 200_000)
+    ranked = pieces.join(before if few else before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     found = ranked.mapInArrow(look_up, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return found.withColumnRenamed("id", id_col)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, new_folder, partitions, read_table, stage
-from .tokens import shared_tokenizer
+from .tokens import MEMO, shared_tokenizer
 
 LANES, SEGMENT = 512, 1 << 16
 #: A frame is closed when it has this many tokens; a longer document makes a longer frame.
@@ -115,14 +115,14 @@ def decode_frame(model: RangeModel, n: int, words: np.ndarray, starts: np.ndarra
 _FRAME = "shard int, frame int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>"
 
 
-def _framer(path: str, end_id: int | None, width: str, top: int):
+def _framer(path: str, end_id: int | None, width: str, top: int, memo: int):
     """Frames of whole documents; the last row of a task, frame -1, has its counts of ids below top."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, frame, first = TaskContext.get().partitionId(), 0, 0
-        tokenizer = shared_tokenizer(path)
+        tokenizer = shared_tokenizer(path, memo)
         names, sizes, held, total = [], [], [], 0
         seen = np.zeros(top, dtype="<i8")
 
@@ -164,11 +164,12 @@ def _framer(path: str, end_id: int | None, width: str, top: int):
     return frames
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> None:
     """Write the ids of every whole text, end_id after each, in ascending order of the document ids, to a new folder.
 
     Null ids come first, rows with equal ids stay separate in any order; null texts count as empty; other columns are
-    left out.  No rows: tables without rows.  One shuffle (by range of ids); memory: a frame and the memo of pieces.
+    left out.  No rows: tables without rows.  One shuffle (by range of ids); memory: a frame and a memo of at
+    most memo pieces.
     """
     from tokenizers import Tokenizer
 
@@ -177,7 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     width = "<u2" if top <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
-    staged = stage(rows.mapInArrow(_framer(tokenizer_path, end_id, width, top), _FRAME + ", ids binary"), "token-frames", "zstd")
+    staged = stage(rows.mapInArrow(_framer(tokenizer_path, end_id, width, top, memo), _FRAME + ", ids binary"), "token-frames", "zstd")
     frames = staged.filter("frame >= 0")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
