@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _local_root
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="lamina-")
@@ -53,6 +56,24 @@ def _discard_all() -> None:
     _staged.clear()
 
 
+def staged_count() -> int:
+    """A mark for staged_since()."""
+    return len(_staged)
+
+
+def staged_since(mark: int) -> list[str]:
+    """Folders made since the mark."""
+    return [path for _, path in _staged[mark:]]
+
+
+def discard_unread(spark: SparkSession, folders: list[str], docs: DataFrame) -> None:
+    """Delete the folders that docs doesn't read."""
+    read = "\n".join(docs.inputFiles())
+    for path in folders:
+        if path.rstrip("/").rpartition("/")[2] not in read:
+            discard(spark, path)
+
+
 def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df once under the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, tag)
@@ -69,6 +90,12 @@ def drop_staged(df: DataFrame) -> None:
         discard(df.sparkSession, path)
 
 
+def collect_garbage(spark) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row."""
     return F.transform(F.array(value), body)[0]
@@ -108,6 +135,6 @@ def join_groups(rows: DataFrame, table: DataFrame, keys: list[str], max_rows: in
     return rows.join(right, same, "left").drop(*names.values(), "_salt", "_salt_of")
 
 
-def numbered(df: DataFrame, tag: str, name: str = "_rid") -> DataFrame:
+def numbered(df: DataFrame, tag: str, name: str = "_rid", codec: str = "snappy") -> DataFrame:
     """df staged with a row number that never changes again (long; not gapless)."""
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), tag)
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), tag, codec)

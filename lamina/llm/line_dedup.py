@@ -1,11 +1,12 @@
 """Line dedup: winnowing over line hashes.
 
-A document is the sequence of its lines that hold a word.  Windows of run_lines lines, and every line of long_words words
-or more by itself, are the least runs worth deleting.  Each window's smallest line hash (the last of equal ones) is its
-fingerprint: two equal runs hold equal windows and so share a fingerprint, whatever surrounds them.  Fingerprints that
-stand once are dropped; around the others the windows they stand for are joined by content to the first place in the
-corpus, to the left and to the right of the fingerprint, and windows that follow one another make up the repeated run.
-Later runs are deleted; the first stays.
+A document is the sequence of its lines that hold a word.  Of every window of run_lines line hashes the smallest (the last
+of equal ones) is selected; the selected lines, about two in run_lines + 1, are the fingerprints, and nothing else of a
+document is looked at.  The guarantee: two equal runs of run_lines lines select the same line, whatever surrounds them.
+Fingerprints that stand twice or more are joined by their surroundings, that is by how far a match extends to the left and
+to the right of them: first positions with equal surroundings on both sides, of which the first stands for all, then these
+few among one another, window by window.  Windows that follow one another make up the repeated run; later runs are
+deleted, the first stays.  A line of long_words words or more is a window, and so a fingerprint, by itself.
 """
 
 from __future__ import annotations
@@ -13,44 +14,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, numbered, read_table, stage
+from .common import collect_garbage, drop_staged, let, numbered, read_table, stage
 
-RUN_LINES, LONG_WORDS = 2, 50
+RUN_LINES, LONG_WORDS = 3, 50
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(rows: DataFrame, run_lines: int, long_words: int) -> DataFrame:
-    """rid, id and one struct per window: fp (fingerprint), at (its line), key1, key2 (content), i (first line), n (lines)."""
+def fingerprints(rows: DataFrame, run_lines: int, long_words: int) -> DataFrame:
+    """One row per selected line: _rid, _id, fp (its hash), at (its number, from 1) and around, the windows that it stands
+    for: i (first line), n (lines) and a 128-bit hash (a, b) of their content."""
     lines = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1), lambda x: x.rlike(_WORD))
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(_WORD)) >= long_words).otherwise(F.lit(False)).alias("long")))
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"), F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(_WORD)) >= long_words).otherwise(F.lit(False)).alias("long")))
+    none = F.array().cast("array<int>")
 
     def window(h, i, n: int):
         part = F.slice(h, i, n)
         hashes = F.transform(part, lambda x: x["h"])
-        low = F.array_min(hashes)
-        last = F.lit(n) - F.array_position(F.reverse(hashes), low).cast("int")
-        return F.struct(low.alias("fp"), (i + last).alias("at"), F.xxhash64(F.lit(n), hashes).alias("key1"), F.xxhash64(hashes, F.lit("second"), F.lit(n)).alias("key2"), i.alias("i"), F.lit(n).alias("n"))
+        last = F.lit(n) - F.array_position(F.reverse(hashes), F.array_min(hashes)).cast("int")
+        return F.struct((i + last).alias("at"), i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), hashes).alias("a"), F.xxhash64(F.lit(n), F.transform(part, lambda x: x["g"])).alias("b"))
+
+    def selected(h, windows):
+        def one(at):
+            near = F.slice(windows, F.greatest(at - run_lines + 1, F.lit(1)), F.least(at, F.lit(run_lines)))
+            return F.struct(F.get(h, at - 1)["h"].alias("fp"), at.alias("at"), F.filter(near, lambda w: w["at"] == at).alias("around"))
+
+        return F.transform(F.array_distinct(F.transform(windows, lambda w: w["at"])), one)
 
     def both(h):
-        none = F.array().cast("array<int>")
         runs = F.transform(F.when(F.size(h) >= run_lines, F.sequence(F.lit(1), F.size(h) - run_lines + 1)).otherwise(none), lambda i: window(h, i, run_lines))
         alone = F.filter(F.transform(F.when(F.size(h) > 0, F.sequence(F.lit(1), F.size(h))).otherwise(none), lambda i: F.when(F.get(h, i - 1)["long"], window(h, i, 1))), lambda x: x.isNotNull())
-        return F.concat(runs, alone)
+        single = F.transform(alone, lambda w: F.struct(F.get(h, w["at"] - 1)["h"].alias("fp"), w["at"].alias("at"), F.array(w).alias("around")))
+        return F.concat(let(runs, lambda w: selected(h, w)), single)
 
-    return rows.select("_rid", "_id", F.explode(let(hashed, both)).alias("w")).select("_rid", "_id", "w.*")
+    return rows.select("_rid", "_id", F.explode(let(hashed, both)).alias("f")).select("_rid", "_id", "f.fp", "f.at", F.transform("f.around", lambda w: F.struct((w["i"] - F.col("f.at")).alias("s"), w["n"].alias("n"), w["a"].alias("a"), w["b"].alias("b"))).alias("around"))
 
 
 def repeated_windows(rows: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """Windows (_rid, i, n) of the rows (_rid, _id, _text) that stand earlier, by id, row and line; null ids come first."""
-    windows = stage(_windows(rows, run_lines, long_words), "line-windows")
-    # fingerprints, each place once; partial counts make hot ones cheap
-    places = windows.select("fp", "_rid", "at").distinct()
-    common = places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
-    anchored = windows.join(common, "fp", "left_semi").select("key1", "key2", F.struct("_id", "_rid", "i").alias("place"), "n")
-    first = anchored.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key1", "key2", "first")
-    first = stage(first, "line-first")  # by itself, so that the join below may split a hot window's rows
-    later = anchored.join(first, ["key1", "key2"]).filter(~F.col("place").eqNullSafe(F.col("first")))
-    return later.select("place._rid", "place.i", "n")
+    found = stage(fingerprints(rows, run_lines, long_words), "line-fingerprints")
+    # staged by itself, and joined under a name that nothing behind it groups by, so that a hot fingerprint's rows are split
+    common = stage(found.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "line-common")
+    anchors = found.join(common, "fp", "left_semi").select(F.struct("_id", "_rid", "at").alias("place"), "around", F.xxhash64("around").alias("key1"), F.xxhash64(F.lit("second"), "around").alias("key2"))
+    anchors = stage(anchors, "line-anchors")
+    drop_staged(found)
+    alike = stage(anchors.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c"), F.first("around").alias("around")), "line-alike")
+    # the first of alike positions stands for all: its windows against those of others
+    windows = alike.select("key1", "key2", "first", F.explode("around").alias("w")).select("key1", "key2", "w.*", F.struct(F.col("first._id").alias("id"), F.col("first._rid").alias("rid"), (F.col("first.at") + F.col("w.s")).alias("i")).alias("at"))
+    windows = stage(windows, "line-windows")
+    least = stage(windows.groupBy("a", "b").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b", "least"), "line-least")
+    later = windows.join(least, ["a", "b"]).filter(~F.col("at").eqNullSafe(F.col("least"))).select(F.col("at.rid").alias("_rid"), F.col("at.i").alias("i"), "n")
+    # the others of alike positions: all their windows stand earlier
+    several = stage(alike.filter("c > 1").select("key1", "key2", "first"), "line-several")
+    copies = anchors.join(several, ["key1", "key2"]).filter(~F.col("place").eqNullSafe(F.col("first"))).select("place", F.explode("around").alias("w"))
+    copies = copies.select(F.col("place._rid").alias("_rid"), (F.col("place.at") + F.col("w.s")).alias("i"), F.col("w.n").alias("n"))
+    return later.union(copies)
 
 
 def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,9 +80,11 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = L
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     kept = docs.columns
-    rows = numbered(docs.select(F.struct(*kept).alias("_row")), "lines")
+    rows = numbered(docs.select(F.struct(*kept).alias("_row")), "lines", codec="zstd")
     text = F.col("_row")[text_col].cast("string")
     hits = repeated_windows(rows.select("_rid", F.col("_row")[id_col].alias("_id"), text.alias("_text")), run_lines, long_words).groupBy("_rid").agg(F.collect_list(F.struct("i", "n")).alias("_hits"))
+    hits = stage(hits, "line-hits")
+    collect_garbage(docs.sparkSession)
     joined = rows.join(hits, "_rid", "left")
     lines = F.split(text, "\n", -1)
 

@@ -10,7 +10,6 @@ symbols is sorted in one task.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, partitions, stage
+from .common import collect_garbage, drop_staged, partitions, stage
 
 #: Symbols that one task sorts; a constant, whatever the string's length.
 BASE = 100_000
@@ -27,12 +26,6 @@ BLOCK = 3 << 14
 NONE = -(2**63)
 
 
-def collect_garbage(spark) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def sort_small(i: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Ranks (from 1) of the suffixes at ascending positions i, by prefix doubling."""
     _, rank = np.unique(s, return_inverse=True)

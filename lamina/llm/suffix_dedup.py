@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, partitions, read_table, stage
-from .suffix_array import collect_garbage, suffix_ranks
+from .common import collect_garbage, drop_staged, partitions, read_table, stage
+from .suffix_array import suffix_ranks
 
 LENGTH = 400
 #: Bytes that decide on a cut, and the mean distance of cuts.

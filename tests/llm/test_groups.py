@@ -50,7 +50,7 @@ def test_components(spark):
 # ---- line dedup
 
 
-def _lines(rows, run=2, words=50):
+def _lines(rows, run=3, words=50):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
@@ -76,14 +76,31 @@ def test_line_dedup(spark):
     done = line_dedup.dedup_lines(df)
     assert done.columns == ["doc_id", "text", "component_id", "text2", "n_lines", "n_removed", "n_runs"]
     assert {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.text) for r in done.collect()} == _lines(list(enumerate(texts)))
-    for run in (1, 3):
+    for run in (1, 2, 5):
         got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, run_lines=run).collect()}
         assert got == {i: x[3] for i, x in _lines(list(enumerate(texts)), run).items()}
     twice = df.filter("doc_id = 9").unionAll(df.filter("doc_id = 9"))
-    assert sorted(r.n_removed for r in line_dedup.dedup_lines(twice).collect()) == [0, 2]
+    assert sorted(r.n_removed for r in line_dedup.dedup_lines(twice, run_lines=2).collect()) == [0, 2]
+    lines = "p q\nr s\nt u\nv w"
+    null = spark.createDataFrame([(1, lines, "x"), (None, lines, "y"), (None, f"z\n{lines}", "z")], "doc_id long, text string, _rid string")
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(null).collect()) == [(0, lines), (0, "z"), (1, "")]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_fingerprints_are_minima(spark):
+    """Only window minima are looked at, every window by one of them; without them nothing is found."""
+    rng = random.Random(8)
+    texts = ["\n".join(f"line {rng.randrange(10**6)}" for _ in range(400)) for _ in range(3)]
+    rows = documents(spark, texts).selectExpr("doc_id as _rid", "doc_id as _id", "text as _text")
+    for run in (3, 8):
+        found = line_dedup.fingerprints(rows, run, 50).collect()
+        assert len({(r._rid, r.at) for r in found}) == len(found) < 3 * 400 * 2.4 / (run + 1)
+        windows = Counter((r._rid, r.at + w.s) for r in found for w in r.around)
+        assert windows == Counter((d, i) for d in range(3) for i in range(1, 400 - run + 2))
+        for r in found:
+            assert all(r.fp <= min(x.fp for x in found if x._rid == r._rid and r.at + w.s <= x.at < r.at + w.s + run) for w in r.around[:1])
+
+
 # ---- Jaccard join
 
 
@@ -160,11 +177,22 @@ def test_one_of_each_group_stays(spark):
     stay = {i for i, n, c in _groups(texts, 5, Fraction(4, 5)) if i == c or not n}
     kept = ngram_join.drop_near_duplicates(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == stay
-    assert ngram_join.jaccard_components(df.limit(0)).count() == 0
+    assert ngram_join.jaccard_components(df.limit(0)).count() == 0 and ngram_join.drop_near_duplicates(df.limit(0)).count() == 0
     null = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (None, "e")], "doc_id long, text string")
     assert Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(null).collect()) == Counter([(None, 3), (3, 3), (None, None)])
 
 
+def test_rows_go_by_themselves(spark):
+    """Shared, null and repeated ids: one row of each group stays, and no row that is similar to nothing goes."""
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (1, c), (1, c), (None, b), (None, "n n n"), (None, "n n n"), (8, None), (8, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _rid string")
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    want = [(3, a), (5, b), (1, c), (None, "n n n"), (8, None), (8, ""), (9, ""), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 # ---- suffix arrays
 
 
