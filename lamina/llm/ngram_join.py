@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, partitions, read_table, stage
+from .common import bounded_broadcast, collect_garbage, drop_staged, numbered, partitions, read_table, stage
 from .components import components
 
 #: A tile has at most this many classes and (but for one larger class) shingles.
@@ -31,7 +31,13 @@ TILE_CLASSES, TILE_SHINGLES = 4096, 6_000_000
 #: Groups of a key of at most this many classes are paired, larger ones chained.
 PAIRED = 24
 #: Keys that a task holds before it hands them on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 600_000
+#: Buckets of keys to a task; one at a time is held.
+BUCKETS = 8
+#: Pairs that a task holds before it hands them on, each once.
+HELD_PAIRS = 400_000
+#: Rows of the tables that may be broadcast.
+FEW = 200_000
 _U = np.uint64
 
 
@@ -228,7 +234,7 @@ def _reader(k: int, least: Fraction, buckets: int):
             full = np.flatnonzero(np.diff(cut))
             for some in np.array_split(full, max(1, len(full) // 64)):
                 if len(some):
-                    parts = [[x[cut[i] : cut[i + 1]].tobytes() for i in some] for x in (key, owner, hot)]
+                    parts = [[pack(x[cut[i] : cut[i + 1]]) for i in some] for pack, x in ((_packed, key), (np.ndarray.tobytes, owner), (lambda x: np.packbits(x).tobytes(), hot))]
                     yield rows(1, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), bucket=some, packed=parts[0], places=parts[1], hot=parts[2])
 
         for batch in batches:
@@ -279,39 +285,74 @@ def distinct_pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([named["u"], named["v"]], axis=1)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents and edges on; keys of the task's buckets become pairs (kind 3) or, of large groups, edges."""
-    names = ["kind", "a", "b", "n", "bits"]
-    held: list[list] = [[], [], []]
-    for batch in batches:
-        packed = pc.equal(batch.column(0), 1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(packed):
-            for k, kind in enumerate((np.uint64, np.uint64, bool)):
-                held[k].append(np.frombuffer(batch.column(6 + k)[i].as_py(), kind))
-        if not packed.all():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[:5], names=names)
-    if not held[0]:
-        return
-    key, owner, hot = map(np.concatenate, held)
+def _packed(key: np.ndarray) -> bytes:
+    """The upper 48 bits of keys: with the bucket enough to tell them apart; a clash only makes one candidate more."""
+    return (key >> _U(32)).astype("<u4").tobytes() + (key >> _U(16)).astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u4", n).astype(np.uint64) << _U(16)) | np.frombuffer(data, "<u2", n, 4 * n)
+
+
+def _bucket_pairs(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(edges of large groups, pairs of small ones) of one bucket's packed (keys, owners, hot)."""
+    key, owner = np.concatenate([_unpacked(k) for k, _, _ in rows]), np.concatenate([np.frombuffer(o, np.uint64) for _, o, _ in rows])
+    hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(k) // 6).astype(bool) for k, _, h in rows])
     hot_keys = np.unique(key[hot])
     key, owner, first, size = grouped(key, owner)
+    several = size > 1
+    key, owner, first, size = key[several], owner[several], first[several], size[several]
     chained = (size > PAIRED) | np.isin(key, hot_keys)
     edges = distinct_pairs(owner[chained & ~first], leaders(owner, first)[chained & ~first])
     few_key, few_owner = key[~chained], owner[~chained]
-    pairs = []
+    pairs = [edges[:0]]
     for step in range(1, PAIRED):  # the classes of a key stand side by side
         same = few_key[step:] == few_key[:-step]
         if not same.any():
             break
         pairs.append(distinct_pairs(few_owner[step:][same], few_owner[:-step][same]))
-    pairs = np.concatenate(pairs) if pairs else edges[:0]
-    pairs = distinct_pairs(pairs[:, 0], pairs[:, 1])
-    for kind, rows in ((2, edges), (3, pairs)):
-        for some in np.array_split(rows, max(1, len(rows) // 100_000)):
-            if len(some):
+    return edges, np.concatenate(pairs)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: passes documents and edges on; the keys of a bucket, the one that is held, become pairs
+    (kind 3) or, in large groups, edges."""
+    names = ["kind", "a", "b", "n", "bits"]
+    bucket, rows, found = None, [], {2: [], 3: []}
+
+    def flush(kind: int):
+        if found[kind]:
+            every = np.concatenate(found[kind])
+            found[kind].clear()
+            every = distinct_pairs(every[:, 0], every[:, 1])
+            for low in range(0, len(every), 100_000):
+                some = every[low : low + 100_000]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(_signed(some[:, 0].copy())), pa.array(_signed(some[:, 1].copy())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
+    def close():
+        if rows:
+            for kind, more in zip((2, 3), _bucket_pairs(rows), strict=True):
+                found[kind].append(more)
+                if sum(map(len, found[kind])) > HELD_PAIRS:
+                    yield from flush(kind)
+            rows.clear()
+
+    for batch in batches:
+        packed = pc.equal(batch.column(0), 1).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(packed).tolist():
+            here = batch.column(5)[i].as_py()
+            if here != bucket:
+                yield from close()
+                bucket = here
+            rows.append(tuple(batch.column(6 + k)[i].as_py() for k in range(3)))
+        if not packed.all():
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[:5], names=names)
+    yield from close()
+    yield from flush(2)
+    yield from flush(3)
+
 
 def _within(least: Fraction):
     """(a, b, na, nb, bits_a, bits_b) -> (u, v) of the pairs whose bitmaps don't rule a link out."""
@@ -379,18 +420,13 @@ def _resolve(k: int, least: Fraction):
     return resolve
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, the smallest id that links reach (itself included).
-
-    A-Z count as a-z; words are what white space (space, tab to carriage return) separates.  Rows with equal sets are
-    linked; null and empty texts have no shingle and are linked with nothing.  Null ids are passed over by component_id
-    unless nothing else is there.  Repeated rows each give a row; other columns are left out.  No rows: none.
-    """
-    spark = docs.sparkSession
+def _roots(rows: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """rows (id, text; null ids allowed) -> staged (id, n, root) per row; root names the component, null without shingles."""
+    spark = rows.sparkSession
     tasks = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    mixed = rows.mapInArrow(_reader(k, least, 4 * tasks), _MIXED).repartition(tasks, "bucket").mapInArrow(_meet, _FOUND)
+    mixed = rows.mapInArrow(_reader(k, least, BUCKETS * tasks), _MIXED).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND)
     mixed = stage(mixed, "join-documents")
+    collect_garbage(spark)  # the shuffled keys
     found = mixed.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
     # one row per class; partial aggregates take care of a class with very many documents
     classes = mixed.filter("kind = 0 and b is not null").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
@@ -399,10 +435,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction = Fraction(9
     pairs = mixed.filter("kind = 3").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
     edges = pairs.mapInArrow(_within(least), "u long, v long").union(mixed.filter("kind = 2").select("a", "b"))
     blocks = components(edges)
-    links = _links(rows, classes.drop("bits"), blocks, k, least)
+    links = stage(_links(rows, classes.drop("bits"), blocks, k, least), "join-links")
+    collect_garbage(spark)
     roots = components(links)
-    table, few = bounded_broadcast(roots.withColumnsRenamed({"node": "class"}), 1_000_000)
+    table, _ = bounded_broadcast(roots.withColumnsRenamed({"node": "class"}), FEW)
     rooted = stage(found.join(table, "class", "left").select("id", "n", F.coalesce("root", "class").alias("root")), "join-roots")
+    for old in (mixed, classes, links):
+        drop_staged(old)
+    return rooted
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id, the smallest id that links reach (itself included).
+
+    A-Z count as a-z; words are what white space (space, tab to carriage return) separates.  Rows with equal sets are
+    linked; null and empty texts have no shingle and are linked with nothing.  Null ids are passed over by component_id
+    unless nothing else is there.  Repeated rows each give a row; other columns are left out.  No rows: none.
+    """
+    rooted = _roots(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), k, least)
     shared = stage(rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("root", "least"), "join-least")
     out = rooted.join(shared, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
@@ -413,7 +463,7 @@ def _links(rows: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, least
     tasks = partitions(rows.sparkSession)
     candidates = stage(classes.join(blocks.select(F.col("node").alias("class"), F.col("root").alias("block")), "class"), "join-candidates")
     tiles = stage(_tiles(candidates.select("class", "block", "n"), Bands(least)), "join-tiles")
-    wanted, _ = bounded_broadcast(candidates.select("id", F.col("class").alias("wanted")), 1_000_000)
+    wanted, _ = bounded_broadcast(candidates.select("id", F.col("class").alias("wanted")), FEW)
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "wanted")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,11 +500,19 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documen
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which one document of each group of linked ones stays: that of the smallest id.
+    """The rows of docs, all columns, of which one of each group of linked ones stays: that of the smallest id.
 
-    Rows without shingles stay.  Of repeated rows that stay, one stays.
+    Rows are told apart by a number of their own, never by id, so that ids may be null or repeated: of equal ids in a
+    group one row stays, a null id only where the group has no other.  Rows without shingles all stay.
     """
-    body = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))
-    found = jaccard_components(docs, k, least, id_col, text_col)
-    gone = found.filter((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("_gone")).distinct()
-    return body.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("_row")), "join-rows")
+    rooted = _roots(rows.select(F.col("_rid").alias("id"), F.col("_row")[text_col].cast("string").alias("text")), k, least)
+    order = F.col("_row")[id_col].cast("long")
+    ids = rows.select(F.col("_rid").alias("id"), F.struct(order.isNull().alias("none"), order.alias("at"), F.col("_rid").alias("rid")).alias("place"))
+    groups = rooted.filter("root is not null").groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root")
+    several = rooted.join(groups, "root").select("root", "id")
+    placed = stage(several.join(ids, "id").select("root", "place"), "join-places")
+    first = stage(placed.groupBy("root").agg(F.min("place").alias("first")), "join-first")
+    gone = placed.join(first, "root").filter(F.col("place.rid") != F.col("first.rid")).select(F.col("place.rid").alias("_gone"))
+    gone, _ = bounded_broadcast(stage(gone, "join-gone"), FEW)
+    return rows.join(gone, F.col("_rid") == F.col("_gone"), "left_anti").select("_row.*")

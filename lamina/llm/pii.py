@@ -2,9 +2,9 @@
 
 A value that is validated (Luhn for cards, mod 97 for IBANs, calendar for dates, octets for addresses) is turned into a
 list of digits, each with its own radix, and permuted by a keyed, alternating Feistel network whose round function is
-SHA-256 of key, kind, round, place and the other half.  The network is a bijection on the values of a format, so equal
-values stay equal and different ones different in all documents; check digits are computed anew, so that the pseudonym
-is as valid as the value.  With inverse=True the permutation is undone.
+SHA-256 of key, kind, round, place and the other half.  The radices multiply to just the valid values of a format, so the
+network is a bijection on them: equal values stay equal and different ones different in all documents; check digits are
+computed anew, so that the pseudonym is as valid as the value.  With inverse=True the permutation is undone.
 """
 
 from __future__ import annotations
@@ -35,6 +35,13 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: A full Gregorian cycle from 1 January 1800: 146097 days = 189 * 773, so that two radices cover it exactly.
 CYCLE_START, CYCLE_DAYS, DAY_RADICES = "1800-01-01", 146_097, (189, 773)
+#: Of these, the days behind the twelfth of their month: 88497 = 9 * 9833.
+LATE_DAYS, LATE_RADICES = 88_497, (9, 9833)
+#: Years in whole blocks of 400 around 1800 that have four digits.
+YEARS = (200, 9799)
+SSN_RADICES = (898, 99, 9999)
+#: A text without any of these holds no value of any kind.
+HINT = "[0-9@]|AKIA|[a-f]{40}"
 
 
 def _shift(cells: Column, other: Column, key: str, tag: Column, step: Column, sign: int) -> Column:
@@ -121,7 +128,7 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
     moved = _characters(m, lambda c, j: j > 4, key, "iban", inverse)
     rest = lambda x: x.substr(F.lit(5), F.length(x))
     checked = lambda x: F.concat(x.substr(1, 2), F.lpad((98 - _mod97(F.concat(rest(x), x.substr(1, 2), F.lit("00")))).cast("string"), 2, "0"), rest(x))
-    return F.when(_mod97(F.concat(rest(m), m.substr(1, 4))) == 1, let(moved, checked)).otherwise(m)
+    return F.when(checked(m) == m, let(moved, checked)).otherwise(m)
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
@@ -129,27 +136,69 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     return F.array_join(F.transform(feistel(cells, key, F.lit("ip"), inverse), lambda x: x["v"].cast("string")), ".")
 
 
+def _permuted(number: Column, radices: tuple[int, ...], key: str, tag: str, inverse: bool) -> Column:
+    """number, 0 <= number < the product of the radices, permuted; the first radix is the highest place."""
+    cells, worth = [], 1
+    for r in reversed(radices):
+        cells.insert(0, _cell(F.pmod(F.floor(number / worth), F.lit(r)), r))
+        worth *= r
+    total = lambda y: F.aggregate(y, F.lit(0).cast("long"), lambda a, x: a * x["r"] + x["v"])
+    return let(feistel(F.array(*cells), key, F.lit(tag), inverse), total)
+
+
+def _ssn(m: Column, key: str, inverse: bool) -> Column:
+    """Area (001 to 899 but 666), group (01 to 99) and serial (0001 to 9999) permuted among the valid ones."""
+    part = lambda i, n: m.substr(i, n).cast("long")
+    number = (((part(1, 3) - 1 - (part(1, 3) > 666).cast("long")) * 99) + part(5, 2) - 1) * 9999 + part(8, 4) - 1
+
+    def render(x):
+        area = F.floor(x / (99 * 9999)) + 1
+        padded = lambda v, n: F.lpad(v.cast("string"), n, "0")
+        return F.concat_ws("-", padded(area + (area > 665).cast("long"), 3), padded(F.pmod(F.floor(x / 9999), F.lit(99)) + 1, 2), padded(F.pmod(x, F.lit(9999)) + 1, 4))
+
+    return let(_permuted(number, SSN_RADICES, key, "ssn", inverse), render)
+
+
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """Days of one 400-year cycle permuted; month/day/year, or day/month/year where only that is a date."""
-    a, b = DAY_RADICES
+    """Days permuted within their block of 400 years; month/day/year, or day/month/year where only that is a date."""
+    start = F.lit(CYCLE_START).cast("date")
 
-    def as_form(form: str) -> Column:
-        def change(x):
-            cells = F.array(_cell(F.floor(x / b), a), _cell(F.pmod(x, F.lit(b)), b))
-            new = let(feistel(cells, key, F.lit("date"), inverse), lambda y: F.get(y, F.lit(0))["v"] * b + F.get(y, F.lit(1))["v"])
-            return F.when(x.between(0, CYCLE_DAYS - 1), F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), new.cast("int")), form))
+    def parsed(form: str) -> Column:
+        return F.try_to_timestamp(m, F.lit(form)).cast("date")
+
+    def moved(day: Column, form: str, number, radices: tuple[int, ...], back) -> Column:
+        """number(day of the block, date) is permuted, back() makes a day of the block of it."""
+        def change(d):
+            days = F.datediff(d, start)
+            block = F.floor(days / CYCLE_DAYS)
+            new = let(_permuted(number(F.pmod(days, F.lit(CYCLE_DAYS)), d), radices, key, "date", inverse), back)
+            return F.when(F.year(d).between(*YEARS), F.date_format(F.date_add(start, (new + block * CYCLE_DAYS).cast("int")), form))
 
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(CYCLE_START).cast("date"))
         return let(day, change)
 
-    shapes = (("^....-", "yyyy-MM-dd"), (r"^..\.", "dd.MM.yyyy"), ("^../", "MM/dd/yyyy"), ("^../", "dd/MM/yyyy"))
-    return F.coalesce(*[F.when(m.rlike(shape), as_form(form)) for shape, form in shapes], m)
+    def any_day(form: str) -> Column:
+        return moved(parsed(form), form, lambda n, d: n, DAY_RADICES, lambda x: x)
+
+    def late_day(form: str) -> Column:
+        """Days behind the twelfth, so that the pseudonym too is no month/day/year."""
+        month = lambda d: F.pmod((F.year(d) - 1800) * 12 + F.month(d) - 1, F.lit(4800))
+        first = lambda k: F.datediff(F.add_months(start, k), start)
+
+        def back(x):
+            near = F.floor(x * 4800 / LATE_DAYS).cast("int")
+            months = F.transform(F.array(near - 1, near, near + 1), lambda k: F.struct(k.alias("k"), (x - first(k) + k * 12).alias("rest")))
+            found = F.filter(months, lambda c: (c["rest"] >= 0) & (x < first(c["k"] + 1) - (c["k"] + 1) * 12))
+            return let(found[0], lambda c: first(c["k"]) + 12 + c["rest"])
+
+        return moved(F.when(F.dayofmonth(parsed(form)) > 12, parsed(form)), form, lambda n, d: n - 12 * (month(d) + 1), LATE_RADICES, back)
+
+    shapes = (("^....-", any_day("yyyy-MM-dd")), (r"^..\.", any_day("dd.MM.yyyy")), ("^../", any_day("MM/dd/yyyy")), ("^../", late_day("dd/MM/yyyy")))
+    return F.coalesce(*[F.when(m.rlike(shape), new) for shape, new in shapes], m)
 
 
 def pseudonym(m: Column, key: str = DEFAULT_KEY, inverse: bool = False) -> Column:
     """The pseudonym of one matched value; the value itself where it isn't valid."""
     kind = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    digit = lambda c, j: c.rlike("[0-9]")
     return (
         F.when(m.contains("@"), _characters(m, lambda c, j: c.rlike("[0-9A-Za-z]") & (j < F.instr(m, "@")), key, "email", inverse))
         .when(kind("key"), _characters(m, lambda c, j: j > 4, key, "key", inverse))
@@ -158,7 +207,7 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY, inverse: bool = False) -> Colum
         .when(kind("date"), _date(m, key, inverse))
         .when(kind("ip"), _ip(m, key, inverse))
         .when(kind("phone"), _characters(m, lambda c, j: c.rlike("[0-9]") & (_digits_after(m, j) < 10), key, "phone", inverse))
-        .when(kind("ssn"), _characters(m, digit, key, "ssn", inverse))
+        .when(kind("ssn"), _ssn(m, key, inverse))
         .otherwise(_card(m, key, inverse))
     )
 
@@ -166,9 +215,12 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY, inverse: bool = False) -> Colum
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """All rows and columns, personal values in the text replaced; adds n_pii (values replaced, long).
 
-    Kinds: see PATTERNS.  Email domains, country codes of phones and first digits of cards stay.  Null texts stay null
-    and empty ones empty, with n_pii 0; a column named n_pii is replaced.  Row by row, no shuffle: equal rows give equal
-    rows, and a text of any length is one row.
+    Kinds: see PATTERNS.  Email domains, country codes of phones and first digits of cards stay.  A pseudonym is read as
+    the same kind and form again and no two values of a kind and form share one, so inverse=True gives the text back.  What
+    is no value stays: cards and IBANs whose check digits are wrong, days that the calendar doesn't have, dates outside the
+    years 0200 to 9799.  n_pii counts values found that changed (a permutation may leave a value as it is).  Null texts
+    stay null and empty ones empty, with n_pii 0; a column named n_pii is replaced.  Row by row, no shuffle: equal rows
+    give equal rows, and a text of any length is one row.
     """
     kept = [c for c in docs.columns if c.lower() != "n_pii"]
     text = F.col(text_col).cast("string")
@@ -179,7 +231,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
         joined = lambda n: F.struct(F.array_join(F.zip_with(parts, F.concat(n, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"), F.size(F.filter(F.zip_with(found, n, lambda a, b: a != b), lambda x: x)).cast("long").alias("n_pii"))
         return F.when(F.size(found) == 0, F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_pii"))).otherwise(let(new, joined))
 
-    done = F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), build)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_pii")))
+    done = F.when(text.rlike(HINT), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), build)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_pii")))
     rows = docs.select(*[F.col(c) for c in kept], done.alias("_done"))
     return rows.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("_done.n_pii").alias("n_pii"))
 

@@ -2,8 +2,10 @@
 
 Per document a few integer measures are counted.  Their distribution in each language and source is kept in a mergeable
 quantile sketch: counts of logarithmic buckets (exact below 32, within 1/16 above), so that sketches of parts, or of the
-sources of a language, are merged by adding counts and come out the same in any order.  A document is dropped where a
-measure lies far outside its own group's quartiles; groups too small to have quartiles use their language's, then all.
+sources of a language, are merged by adding counts and come out the same in any order.  Every group, of whatever size, has
+thresholds of its own: its sketch is merged with its language's and the whole corpus's, each scaled to count as PRIOR
+documents.  A document is dropped where a measure lies far outside the quartiles; the distance is counted in the group's
+own spread, and for rates, which are zero in most documents, also in the lower quartile of the others and their share.
 """
 
 from __future__ import annotations
@@ -16,18 +18,17 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, join_groups, let, read_table, stage
 
 WINDOW = 8
-#: Measure: (side of the fence, least spread that counts as the distance between quartiles).
+#: Measure: (side of the fence, smoothing that is added to the spread, so that a group of copies has some).
 MEASURES = {
-    "symbol_rate": ("high", 60),
-    "dup_line_rate": ("high", 120),
-    "repeat_rate": ("high", 80),
-    "word_length": ("both", 60),
+    "symbol_rate": ("high", 40),
+    "dup_line_rate": ("high", 110),
+    "repeat_rate": ("high", 75),
+    "word_length": ("both", 30),
 }
-#: A fence stands this many quartile distances beyond the quartile.
+#: A fence stands this many spreads beyond the quartile.
 REACH = 3
-#: Groups of fewer documents use the next wider sketch.
-LEAST_ROWS = 100
-_NO_FENCE = 2**62
+#: Documents that a wider sketch counts as in a group's own, and parts of a document that sketches count in.
+PRIOR, PARTS = 50, 1024
 
 
 def _dup_positions(keys: Column) -> Column:
@@ -90,25 +91,45 @@ def bucket_bound(code: Column, upper: bool) -> Column:
     return F.when(code < 32, code.cast("long")).otherwise(high if upper else low)
 
 
-def _fences(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group with its documents n and, per measure, the fences low and high."""
+def _sketches(counts: DataFrame, keys: list[str], weight) -> DataFrame:
+    """One row per group and measure: the sketch s, an array of (code, w), with w = weight(n, documents of the group)."""
     merged = counts.groupBy(*keys, "measure", "code").agg(F.sum("n").alias("n"))
-    sketch = merged.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("s"), F.sum("n").alias("n"))
+    rows = merged.groupBy(*keys, "measure").agg(F.collect_list(F.struct("code", "n")).alias("s"), F.sum("n").alias("total"))
+    return rows.select(*keys, "measure", F.transform("s", lambda x: F.struct(x["code"].alias("code"), weight(x["n"], F.col("total")).alias("w"))).alias("s"))
 
-    def quantile(percent: int) -> Column:
-        seen = lambda a, x: F.when(a["found"].isNull() & ((a["seen"] + x["n"]) * 100 >= F.col("n") * percent), F.struct((a["seen"] + x["n"]).alias("seen"), x["code"].alias("found"))).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), a["found"].alias("found")))
-        return F.aggregate("s", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("found")), seen, lambda a: a["found"])
 
-    quart = sketch.withColumns({"q1": bucket_bound(quantile(25), False), "q3": bucket_bound(quantile(75), True)})
-    least = reduce(lambda w, m: w.when(F.col("measure") == m, F.lit(MEASURES[m][1])), MEASURES, F.when(F.lit(False), F.lit(0)))
-    spread = F.greatest(F.col("q3") - F.col("q1"), least) * REACH
+def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: a column fence with, per measure, low and high. counts: keys, measure, code, n."""
+    rows = _sketches(counts, keys, lambda n, total: n * PARTS).withColumnRenamed("s", "s_own")
+    for depth in range(len(keys)):
+        wider = _sketches(counts, keys[:depth], lambda n, total: F.floor(n * (PARTS * PRIOR) / total)).withColumnRenamed("s", f"s_{depth}")
+        rows = join_groups(rows, wider, [*keys[:depth], "measure"])
+    parts = [F.coalesce(f"s_{d}", F.array().cast("array<struct<code:int,w:bigint>>")) for d in ("own", *range(len(keys)))]
+    rows = rows.select(*keys, "measure", F.array_sort(F.concat(*parts)).alias("s"))
 
+    def quantile(sketch: Column, percent: int) -> Column:
+        total = F.aggregate(sketch, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+
+        def code(t):
+            seen = lambda a, x: F.struct((a["seen"] + x["w"]).alias("seen"), F.coalesce(a["found"], F.when((a["seen"] + x["w"]) * 100 >= t * percent, x["code"])).alias("found"))
+            return F.aggregate(sketch, F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("found")), seen, lambda a: a["found"])
+
+        return let(total, code)
+
+    weight = lambda sketch: F.aggregate(sketch, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    some = F.filter("s", lambda x: x["code"] > 0)
+    rows = rows.withColumns({
+        "q1": bucket_bound(quantile(F.col("s"), 25), False), "q3": bucket_bound(quantile(F.col("s"), 75), True),
+        "share": F.floor(weight(some) * 1000 / weight(F.col("s"))), "light": F.coalesce(bucket_bound(quantile(some, 25), False), F.lit(0).cast("long")),
+    })
+    smooth = reduce(lambda w, m: w.when(F.col("measure") == m, F.lit(MEASURES[m][1])), MEASURES, F.when(F.lit(False), F.lit(0)))
     out = []
     for m, (side, _) in MEASURES.items():
-        low = F.max(F.when(F.col("measure") == m, F.col("q1") - spread)) if side == "both" else F.lit(-1).cast("long")
-        high = F.max(F.when(F.col("measure") == m, F.col("q3") + spread))
-        out.append(F.struct(low.alias("low"), high.alias("high")).alias(m))
-    return quart.groupBy(*keys).agg(F.max("n").alias("n"), F.struct(*out).alias("fence"))
+        own = F.col("measure") == m
+        spread = REACH * (F.col("q3") - F.col("q1") + smooth + (F.floor(F.col("light") * F.col("share") / 1000) if side == "high" else 0))
+        low = F.max(F.when(own, F.col("q1") - spread)) if side == "both" else F.lit(-1)
+        out.append(F.struct(low.cast("long").alias("low"), F.max(F.when(own, F.col("q3") + spread)).cast("long").alias("high")).alias(m))
+    return rows.groupBy(*keys).agg(F.struct(*out).alias("fence"))
 
 
 def judge(rows: DataFrame, n_groups: int = 2) -> DataFrame:
@@ -119,18 +140,10 @@ def judge(rows: DataFrame, n_groups: int = 2) -> DataFrame:
     keys = [f"g{i}" for i in range(n_groups)]
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("code")) for m in MEASURES]))
     counts = rows.filter(~F.col("base_failed")).select(*keys, pairs.alias("p")).groupBy(*keys, "p.measure", "p.code").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts, "quality-sketch")
-    whole = _fences(counts.withColumn("_all", F.lit(1)), ["_all"]).select("n", "fence").first()
-    out = rows
-    for depth in range(n_groups, 0, -1):
-        some = keys[:depth]
-        table = _fences(counts, some).filter(F.col("n") >= LEAST_ROWS).select(*some, F.col("fence").alias(f"_f{depth}"))
-        out = join_groups(out, table, some)
-    last = F.struct(*[F.struct(F.lit(whole["fence"][m]["low"]).cast("long").alias("low"), F.lit(whole["fence"][m]["high"]).cast("long").alias("high")).alias(m) for m in MEASURES]) if whole else None
-    choices = [F.col(f"_f{depth}") for depth in range(n_groups, 0, -1)] + ([last] if whole else [])
-    fence = F.coalesce(*choices)
-    inside = reduce(lambda a, b: a & b, [F.col(m).between(fence[m]["low"], fence[m]["high"]) for m in MEASURES])
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(*[f"_f{d}" for d in range(1, n_groups + 1)])
+    table = stage(fences(stage(counts, "quality-sketch"), keys), "quality-fences")
+    out = join_groups(rows, table, keys)
+    inside = reduce(lambda a, b: a & b, [F.col(m).between(F.col("fence")[m]["low"], F.col("fence")[m]["high"]) for m in MEASURES])
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("fence")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -160,18 +173,26 @@ def measured_ctes(docs: str = "documents") -> str:
     low = "CASE WHEN q < 32 THEN q ELSE (q % 16 + 16) << ((q - 32) // 16 + 1) END"
     high = "CASE WHEN q < 32 THEN q ELSE ((q % 16 + 17) << ((q - 32) // 16 + 1)) - 1 END"
     union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {code(m)} AS code FROM base WHERE NOT base_failed" for m in MEASURES)
-    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, (_, v) in MEASURES.items()) + " END"
-    levels = ("lang, source", "lang", "1")
-    fences = []
-    for i, keys in enumerate(levels):
-        sel = keys if keys != "1" else "1 AS one"
-        fences.append(f"""
-m{i} AS (SELECT {sel}, measure, code, count(*) AS n FROM coded GROUP BY ALL),
-c{i} AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, measure ORDER BY code) AS seen, sum(n) OVER (PARTITION BY {keys}, measure) AS total FROM m{i}),
-q{i} AS (SELECT {keys if keys != '1' else 'one'}, measure, max(total)::BIGINT AS n, min(code) FILTER (seen * 100 >= total * 25) AS a, min(code) FILTER (seen * 100 >= total * 75) AS b FROM c{i} GROUP BY ALL),
-f{i} AS (SELECT *, ({low.replace('q', 'a')}) AS q1, ({high.replace('q', 'b')}) AS q3 FROM q{i}),
-g{i} AS (SELECT {keys if keys != '1' else 'one'}, max(n) AS n, map_from_entries(list((measure, {{'lo': q1 - {REACH} * greatest(q3 - q1, {least}), 'hi': q3 + {REACH} * greatest(q3 - q1, {least})}}))) AS fence FROM f{i} GROUP BY ALL)""")
+    smooth = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, (_, v) in MEASURES.items()) + " END"
+    typical = "CASE WHEN measure IN (" + ", ".join(f"'{m}'" for m, (side, _) in MEASURES.items() if side == "high") + ") THEN light * share // 1000 ELSE 0 END"
+    scaled = f"floor(n * {PARTS * PRIOR} / total)::BIGINT"
     tests = " AND ".join(f"{m} <= fence['{m}'].hi" + (f" AND {m} >= fence['{m}'].lo" if side == "both" else "") for m, (side, _) in MEASURES.items())
+    sketches = f"""
+own AS (SELECT lang, source, measure, code, count(*) AS n FROM coded GROUP BY ALL),
+by_lang AS (SELECT lang, measure, code, n, sum(n) OVER (PARTITION BY lang, measure) AS total FROM (SELECT lang, measure, code, sum(n)::BIGINT AS n FROM own GROUP BY ALL)),
+by_all AS (SELECT measure, code, n, sum(n) OVER (PARTITION BY measure) AS total FROM (SELECT measure, code, sum(n)::BIGINT AS n FROM own GROUP BY ALL)),
+there AS (SELECT DISTINCT lang, source, measure FROM own),
+parts AS (SELECT lang, source, measure, code, n * {PARTS} AS w FROM own
+  UNION ALL SELECT t.lang, t.source, measure, code, {scaled} FROM there t JOIN by_lang l USING (measure) WHERE t.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL SELECT t.lang, t.source, measure, code, {scaled} FROM there t JOIN by_all USING (measure)),
+merged AS (SELECT lang, source, measure, code, sum(w)::BIGINT AS w FROM parts GROUP BY ALL),
+seen AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY code) AS seen, sum(w) OVER (PARTITION BY lang, source, measure) AS total,
+  sum(w) FILTER (code > 0) OVER (PARTITION BY lang, source, measure ORDER BY code) AS seen_some, sum(w) FILTER (code > 0) OVER (PARTITION BY lang, source, measure) AS total_some FROM merged),
+codes AS (SELECT lang, source, measure, min(code) FILTER (seen * 100 >= total * 25) AS a, min(code) FILTER (seen * 100 >= total * 75) AS b,
+  min(code) FILTER (code > 0 AND seen_some * 100 >= total_some * 25) AS c, coalesce(max(total_some), 0) * 1000 // max(total) AS share FROM seen GROUP BY ALL),
+bounds AS (SELECT *, ({low.replace('q', 'a')}) AS q1, ({high.replace('q', 'b')}) AS q3, coalesce({low.replace('q', 'c')}, 0) AS light FROM codes),
+spreads AS (SELECT *, {REACH} * (q3 - q1 + {smooth} + {typical}) AS spread FROM bounds),
+fences AS (SELECT lang, source, map_from_entries(list((measure, {{'lo': q1 - spread, 'hi': q3 + spread}}))) AS fence FROM spreads GROUP BY ALL)"""
     return f"""
 numbered AS (SELECT row_number() OVER () AS rid, *, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM {docs}),
@@ -184,11 +205,8 @@ counted AS (SELECT n.*, len(words)::BIGINT AS n_words, length(array_to_string(wo
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
     CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length FROM counted),
-coded AS ({union}), {','.join(fences)},
-judged AS (SELECT *, NOT base_failed AND coalesce({tests}, true) AS kept FROM (
-  SELECT b.*, coalesce(g0.fence, g1.fence, g2.fence) AS fence FROM base b
-  LEFT JOIN g0 ON g0.n >= {LEAST_ROWS} AND b.lang IS NOT DISTINCT FROM g0.lang AND b.source IS NOT DISTINCT FROM g0.source
-  LEFT JOIN g1 ON g1.n >= {LEAST_ROWS} AND b.lang IS NOT DISTINCT FROM g1.lang LEFT JOIN g2 ON true))"""
+coded AS ({union}), {sketches},
+judged AS (SELECT b.*, fence, NOT base_failed AND coalesce({tests}, true) AS kept FROM base b LEFT JOIN fences f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source)"""
 
 
 def oracle() -> str:
