@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import line_dedup, mixing, ngram_join, packing, quality
-from lamina.llm.common import stage
+from lamina.llm.common import discard_unread, drop_staged, stage, staged_count, staged_since
 
+#: Tables between steps that the last call of each stage left, by the stage's place.
+_left: dict[int, list[str]] = {}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,28 +43,44 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of each document with its place in a sequence of 2048 tokens."""
-    return packing.pack(docs, _tokenizer())
+    """One row per piece of each document with its place in a sequence of 2048 tokens. Workers keep no memo for other stages."""
+    return packing.pack(docs, _tokenizer(), memo=300_000, keep_memo=False)
+
+
+def _in_turn(place: int, step):
+    """The stage, which first deletes what the one before staged: its result has been written and is read as docs."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_unread(spark, _left.pop(place - 1, []), docs)
+        mark = staged_count()
+        out = step(spark, docs, sf_dir)
+        _left[place] = staged_since(mark)
+        return out
+
+    return functools.update_wrapper(run_stage, step)
 
 
-STAGES = [
+_STEPS = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
     ("source mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
+STAGES = [(name, _in_turn(place, step)) for place, (name, step) in enumerate(_STEPS)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read again as the next one's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, "pipeline")
+            before, kept = kept, stage(docs, "pipeline")
+            drop_staged(before)
+            docs = kept
     return docs
 
 
-#: Packing's token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Packing's token ids are beyond SQL; tests/llm/test_queries.py holds each stage against SQL or brute force.
 ORACLE_SQL = None
