@@ -13,16 +13,23 @@ from .wire import InvalidData, Reader, Versions, compress, decompress, read_vari
 MERGE_GAP = 8
 
 
-def patches(old: bytes, new: bytes) -> list[tuple[int, bytes]] | None:
-    """(offset, bytes) of each patch, or None if they hold more than half of the new blob."""
+def differing(old: bytes, new: bytes) -> np.ndarray:
+    """Places of new that differ from old or lie beyond it."""
     both = min(len(old), len(new))
     differ = np.ones(len(new), dtype=bool)
     differ[:both] = np.frombuffer(old, np.uint8, both) != np.frombuffer(new, np.uint8, both)
-    at = np.flatnonzero(differ)
-    if not len(at):
-        return []
+    return np.flatnonzero(differ)
+
+
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of places, close ones made one."""
     far = np.flatnonzero(np.diff(at) > MERGE_GAP)
-    start, end = at[np.concatenate(([0], far + 1))], at[np.concatenate((far, [len(at) - 1]))] + 1
+    return at[np.concatenate(([0], far + 1))[: len(at)]], at[np.concatenate((far, [len(at) - 1]))[: len(at)]] + 1
+
+
+def patches(old: bytes, new: bytes) -> list[tuple[int, bytes]] | None:
+    """(offset, bytes) of each patch, or None if they hold more than half of the new blob."""
+    start, end = runs(differing(old, new))
     if int((end - start).sum()) > len(new) // 2:
         return None
     return [(int(a), new[a:b]) for a, b in zip(start, end, strict=True)]

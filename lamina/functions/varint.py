@@ -46,8 +46,15 @@ def zigzag_inverse(value: Column) -> Column:
 
 
 def uint_wire(value: Column, bits: int = 64) -> Column:
-    """Wire form (hex) of an unsigned integer; 8 bits are one raw byte."""
-    return le_hex(value, 1) if bits == 8 else varint_hex(value)
+    """Wire form (hex) of an unsigned integer; 8 bits are one raw byte.
+
+    A negative value of a signed type of as many bits counts as its bit pattern; what doesn't fit is InvalidData.
+    """
+    if bits == 64:
+        return varint_hex(value)
+    v = value.cast("long")
+    fitting = F.when(v.between(-(1 << (bits - 1)), (1 << bits) - 1), v.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).when(v.isNotNull(), F.raise_error(F.lit(f"InvalidData: a value does not fit {bits} bits")))
+    return le_hex(fitting, 1) if bits == 8 else varint_hex(fitting)
 
 
 def int_wire(value: Column, bits: int = 64) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.varint import varint_hex, varint_len
 
@@ -26,17 +27,33 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _coarse(order: Column, kind: T.DataType) -> Column | None:
+    """A number that never falls where the order rises; None: not known for the type."""
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.FractionalType)):
+        return order
+    if isinstance(kind, T.DateType):
+        return F.datediff(order, F.lit("1970-01-01").cast("date"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(order)
+    if isinstance(kind, (T.StringType, T.BinaryType)):  # the first seven bytes
+        return F.conv(F.rpad(F.hex(F.substring(order.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if isinstance(kind, T.StructType) and len(kind):
+        return _coarse(order[kind[0].name], kind[0].dataType)
+    return None
+
+
 def _number(first: DataFrame, order_by: str, name: str, base: Column, parts: int = 64) -> DataFrame:
     """Adds 1, 2, ... + base in order over the whole table.
 
-    An integer order is cut at approximate percentiles into ranges that are numbered side by side, each from the count of
-    the ranges before it; other orders are numbered by one window.
+    The order, or a number that follows it, is cut at approximate percentiles into ranges that are numbered side by side,
+    each from the count of the ranges before it; only orders of other types (arrays) are numbered by one window.
     """
-    if first.schema[order_by].dataType.typeName() not in ("long", "integer", "short"):
+    coarse = _coarse(F.col(order_by), first.schema[order_by].dataType)
+    if coarse is None:
         return first.withColumn(name, F.row_number().over(Window.orderBy(order_by)).cast("long") + base)
-    cuts = first.agg(F.percentile_approx(order_by, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    ranged = first.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col(order_by))))
+    cuts = first.agg(F.percentile_approx(coarse, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    ranged = first.withColumn("_range", sum(((coarse >= F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    ranged = ranged.withColumn("_range", F.coalesce("_range", F.lit(-1)))  # nulls come first
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))  # at most `parts` rows
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(order_by)))
@@ -53,15 +70,16 @@ def prime(values: DataFrame, order_by: str, value: str, type_col: str | None = N
     return _number(first, "_at", "id", F.lit(0).cast("long")).select("type", "value", "id")
 
 
-def encode(stream: DataFrame, value: str, order_by: str, scope: list[str] | None = None, type_col: str | None = None, frozen: DataFrame | None = None) -> DataFrame:
+def encode(stream: DataFrame, value: str, order_by: str, scope: list[str] | None = None, type_col: str | None = None, frozen: DataFrame | None = None, epoch: str | None = None) -> DataFrame:
     """Adds id (the dictionary's), wire_id (0 for a first occurrence, else the id) and is_new to every row.
 
     Within scopes a window per scope numbers the first occurrences.  A stream without scope is numbered over its distinct
     values alone (aggregate, rank, join back), so that no window ever holds the whole stream.  Values of the frozen
-    dictionary (type, value, id) are known from the start and never enter the numbering.
+    dictionary (type, value, id) are known from the start and never enter the numbering.  epoch (see clear_type_epochs):
+    a value is new again in each epoch of its type, while ids go on.
     """
     scope = list(scope or [])
-    kind = [type_col] if type_col else []
+    kind = [c for c in (type_col, epoch) if c]
     rows = stream
     base = F.lit(0).cast("long")
     if frozen is not None:
@@ -113,22 +131,21 @@ def decode(stream: DataFrame, value: str, order_by: str, scope: list[str] | None
         new = _number(new, order_by, "_id", base)
     dictionary = new.select(*scope, "_id", kind.alias("_type"), F.col(value).alias("_value"), F.col(order_by).alias("_since"))
     dictionary = dictionary.withColumnsRenamed({k: f"_k_{k}" for k in scope})
-    test = reduce(lambda a, b: a & b, [stream[k].eqNullSafe(dictionary[f"_k_{k}"]) for k in scope], (stream["wire_id"] == dictionary["_id"]) & (stream[order_by] > dictionary["_since"]))
+    # first occurrences carry their value; only the others look theirs up, so 0 is no key of the join
+    later = stream.filter("wire_id <> 0")
+    test = reduce(lambda a, b: a & b, [later[k].eqNullSafe(dictionary[f"_k_{k}"]) for k in scope], (later["wire_id"] == dictionary["_id"]) & (later[order_by] > dictionary["_since"]))
     if type_col:
-        test = test & (stream[type_col] == dictionary["_type"])
-    out = stream.join(dictionary, test, "left").drop(*[f"_k_{k}" for k in scope])
-    found = F.col("_value")
+        test = test & (later[type_col] == dictionary["_type"])
+    out = later.join(dictionary, test, "left").drop(*[f"_k_{k}" for k in scope])
+    found, known = F.col("_value"), F.col("_since").isNotNull()
     if frozen is not None:
         old = frozen.select(F.col("id").alias("_fid"), F.col("type").alias("_ft"), F.col("value").alias("_fv"))
         same = out["wire_id"] == old["_fid"]
         out = out.join(_small(old), same & (out[type_col] == old["_ft"]) if type_col else same, "left")
-        found = F.coalesce("_fv", "_value")
-        known = F.col("_since").isNotNull() | F.col("_fid").isNotNull()
-    else:
-        known = F.col("_since").isNotNull()
-    missing = F.raise_error(F.lit("InvalidData: an id without a value"))
-    result = F.when(F.col("wire_id") == 0, F.col(value)).when(known, found).otherwise(missing)
-    return out.select(*[result.alias(c) if c == value else F.col(c) for c in stream.columns])
+        found, known = F.coalesce("_fv", "_value"), known | F.col("_fid").isNotNull()
+    result = F.when(known, found).otherwise(F.raise_error(F.lit("InvalidData: an id without a value")))
+    filled = out.select(*[result.alias(c) if c == value else F.col(c) for c in stream.columns])
+    return stream.filter("wire_id = 0").unionByName(filled)
 
 
 def dictionary_of(encoded: DataFrame, value: str, scope: list[str] | None = None, type_col: str | None = None) -> DataFrame:
@@ -152,14 +169,17 @@ def values_for_type(dictionary: DataFrame, kind: str) -> DataFrame:
     return dictionary.filter(F.col("type") == kind).select("id", "value")
 
 
-def clear_type_epochs(stream: DataFrame, order_by: str, clear: str, scope: list[str] | None = None) -> DataFrame:
-    """Adds epoch: how many rows marked by the boolean column clear stand at or before each row, for clearing one type.
+def clear_type_epochs(stream: DataFrame, order_by: str, clear: str, scope: list[str] | None = None, type_col: str | None = None) -> DataFrame:
+    """Adds epoch: how many rows marked by the boolean column clear stand at or before each row of its scope and type.
 
-    Use epoch as part of the value's key while ids go on in one counter: encode(..., scope) with the value paired with
-    its type's epoch.  Needs a scope to stay distributed.
+    For encode(..., epoch="epoch").  Without scope and type the marked rows alone, which are few, are numbered.
     """
-    window = (Window.partitionBy(*scope) if scope else Window).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return stream.withColumn("epoch", F.sum(F.col(clear).cast("int")).over(window))
+    keys = [*(scope or []), *([type_col] if type_col else [])]
+    if keys:
+        window = Window.partitionBy(*keys).orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return stream.withColumn("epoch", F.sum(F.col(clear).cast("int")).over(window))
+    marks = stream.filter(F.col(clear)).agg(F.array_sort(F.collect_list(order_by)).alias("_marks"))  # one row: the clearings
+    return stream.crossJoin(F.broadcast(marks)).withColumn("epoch", F.size(F.filter("_marks", lambda m: m <= F.col(order_by)))).drop("_marks")
 
 
 def encode_nested(rows: DataFrame, array_col: str, order_by: str, scope: list[str] | None = None) -> DataFrame:

@@ -1,13 +1,19 @@
-"""Schemas of the ledger record types: codecs by name, fields in wire order.
+"""Schemas of the ledger record types: codecs by name, fields in wire order, registered as record.<name>.
+
+columns.encode_value(column, "record.Reward") and the folds of columns.py, for those with public keys in a dictionary or
+blobs in deltas, take them as they are; schema_of() is the Spark schema.
 
 A public key is the one dictionary-eligible leaf; signatures and hashes never take part in deltas.
 """
 
 from __future__ import annotations
 
+from pyspark.sql.types import StructField, StructType
+
 from ..functions.wire import (
-    BOOL, BYTES, F64, I64, STR, U8, U32, U64, Enum, FixedBytes, InvalidData, Keyed, Mapped, Option, Result, Struct, Type, UNIT, Vec,
+    BOOL, BYTES, F64, I64, STR, U8, U32, U64, Enum, FixedBytes, InvalidData, Keyed, Mapped, Option, Result, Struct, Type, UNIT, Vec, registry,
 )
+from .columns import spark_type
 
 # Fixed values of the format: names and order of the variants are their discriminants.
 INSTRUCTION_ERRORS = """
@@ -49,10 +55,11 @@ def _unpack_header(n: int) -> dict:
     return {"required_signatures": n & 255, "readonly_signed": n >> 8 & 255, "readonly_unsigned": n >> 16}
 
 
+_HEADER = Struct(("required_signatures", U8), ("readonly_signed", U8), ("readonly_unsigned", U8))
 PUBKEY = Keyed("pubkey", FixedBytes(32, delta=False))
 HASH = FixedBytes(32, delta=False)
 SIGNATURE = FixedBytes(64, delta=False)
-MESSAGE_HEADER = Mapped(U32, _pack_header, _unpack_header)
+MESSAGE_HEADER = Mapped(U32, lambda h: _pack_header(h if isinstance(h, dict) else dict(zip(_HEADER.names, h, strict=True))), _unpack_header, _HEADER)
 COMPILED_INSTRUCTION = Struct(("program_id_index", U8), ("accounts", BYTES), ("data", BYTES))
 _MESSAGE = (("header", MESSAGE_HEADER), ("account_keys", Vec(PUBKEY)), ("recent_blockhash", HASH), ("instructions", Vec(COMPILED_INSTRUCTION)))
 LEGACY_MESSAGE_BODY = Struct(*_MESSAGE)
@@ -95,3 +102,12 @@ RECORDS: dict[str, Type] = {
     "TransactionReturnData": RETURN_DATA, "InstructionError": INSTRUCTION_ERROR, "TransactionError": TRANSACTION_ERROR, "TransactionStatusMeta": STATUS_META,
     "SlotStatus": SLOT_STATUS, "PluginError": PLUGIN_ERROR,
 }
+
+for _name, _kind in RECORDS.items():
+    registry.register(f"record.{_name}", _kind)
+
+
+def schema_of(name: str) -> StructType:
+    """The record's Spark schema, a single field value for records that are no struct."""
+    kind = spark_type(RECORDS[name])
+    return kind if isinstance(kind, StructType) else StructType([StructField("value", kind)])

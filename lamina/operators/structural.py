@@ -5,7 +5,8 @@ compressed, pass through an Arrow UDF).  Decoding compiles the type into a codec
 
 Spark type -> wire type: tinyint i8, smallint i16, int i32, bigint i64 (field metadata {"unsigned": true}: u8 .. u64),
 boolean, float f32, double f64, string, binary (metadata {"fixed": n}: n raw bytes), array vec, map ordered map, struct
-its fields in order.  A nullable field is an option; a null where the schema allows none is an error.
+its fields in order.  A nullable field is an option; a null where the schema allows none is an error.  Metadata
+{"codec": name}: the codec registered under that name, for the field or, in an array, its elements (see columns.py).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import wire as w
 from ..functions.varint import bool_wire, int_wire, uint_wire, varint_hex
+from . import columns
 from .flagged import flagged_hex
 
 _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
@@ -58,19 +60,13 @@ def needs_python(kind: T.DataType) -> bool:
     if isinstance(kind, T.MapType):
         return needs_python(kind.keyType) or needs_python(kind.valueType)
     if isinstance(kind, T.StructType):
-        return any(needs_python(f.dataType) for f in kind.fields)
+        return any("codec" in f.metadata or needs_python(f.dataType) for f in kind.fields)
     return isinstance(kind, (T.FloatType, T.DoubleType, T.StringType, T.BinaryType))
 
 
 def _whole_hex(value: Column, kind: T.DataType, metadata: dict) -> Column:
     """Wire form (hex) by the scalar codec: lambdas take no UDF, so collections of such elements are encoded whole."""
-    codec = codec_of(kind, False, metadata)
-
-    @F.udf("string", useArrow=True)
-    def encode(x):
-        return None if x is None else codec.dumps(x).hex().upper()
-
-    return encode(value)
+    return F.hex(columns.encode_value(value, codec_of(kind, False, metadata)))
 
 
 def wire_hex(value: Column, kind: T.DataType, nullable: bool = False, metadata: dict | None = None) -> Column:
@@ -79,7 +75,9 @@ def wire_hex(value: Column, kind: T.DataType, nullable: bool = False, metadata:
         return F.when(value.isNull(), "00").otherwise(F.concat(F.lit("01"), wire_hex(value, kind, False, metadata)))
     metadata = metadata or {}
     bits = _BITS.get(type(kind))
-    if bits:
+    if "codec" in metadata and not isinstance(kind, (T.ArrayType, T.MapType)):
+        out = F.hex(columns.encode_value(value, metadata["codec"]))
+    elif bits:
         out = uint_wire(value, bits) if metadata.get("unsigned") else int_wire(value, bits)
     elif isinstance(kind, T.BooleanType):
         out = bool_wire(value)
@@ -93,7 +91,7 @@ def wire_hex(value: Column, kind: T.DataType, nullable: bool = False, metadata:
         head = varint_hex(F.size(value))
         if not kind.containsNull and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
             out = F.concat(head, (_float_list_hex if isinstance(kind.elementType, T.FloatType) else _double_list_hex)(value))
-        elif needs_python(kind):
+        elif needs_python(kind) or "codec" in metadata:
             out = _whole_hex(value, kind, metadata)
         else:
             out = F.concat(head, F.array_join(F.transform(value, lambda x: wire_hex(x, kind.elementType, kind.containsNull, metadata)), ""))
@@ -151,6 +149,8 @@ def codec_of(kind: T.DataType, nullable: bool = False, metadata: dict | None = N
         return w.Option(codec_of(kind, False, metadata))
     metadata = metadata or {}
     bits = _BITS.get(type(kind))
+    if "codec" in metadata and not isinstance(kind, (T.ArrayType, T.MapType)):
+        return w.registry[metadata["codec"]]
     if bits:
         return w.Int(bits, not metadata.get("unsigned"))
     if isinstance(kind, T.BooleanType):
@@ -188,31 +188,13 @@ def decode_column(wire: Column, kind: T.DataType, nullable: bool = False, metada
 
     All bytes must be used up; what follows the value is InvalidData.
     """
-    codec = codec_of(kind, nullable, metadata)
-    out = T.StructType([T.StructField("value", _bare(kind)), T.StructField("error_class", T.StringType())])
-
-    @F.udf(out, useArrow=True)
-    def decode(data):
-        if data is None:
-            return None
-        try:
-            reader = w.Reader(bytes(data))
-            value = codec.decode(reader)
-            if reader.left():
-                raise w.InvalidData(f"{reader.left()} bytes too many")
-            return value, None
-        except w.WireError as e:
-            if strict:
-                raise
-            return None, e.error_class
-
-    found = decode(wire)
-    return found["value"] if strict else found
+    return columns.decode_value(wire, codec_of(kind, nullable, metadata), strict, _bare(kind))
 
 
 def decode_stream(df: DataFrame, kind: T.DataType, wire_col: str = "wire", nullable: bool = False) -> DataFrame:
     """Rows of concatenated values -> one row per value with its place: the columns, position, value, next_offset."""
     codec = codec_of(kind, nullable)
+    taken = columns.to_spark(codec, True)
     keep = [c for c in df.columns if c not in (wire_col, "position", "value", "next_offset")]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("position", T.LongType()), T.StructField("value", kind), T.StructField("next_offset", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -225,7 +207,7 @@ def decode_stream(df: DataFrame, kind: T.DataType, wire_col: str = "wire", nulla
             for row in batch.to_pylist():
                 reader, n = w.Reader(bytes(row[wire_col] or b"")), 0
                 while reader.left():
-                    value = codec.decode(reader)
+                    value = taken(codec.decode(reader))
                     rows.append({c: row[c] for c in keep} | {"position": n, "value": value, "next_offset": reader.position})
                     n += 1
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)

@@ -6,13 +6,13 @@ give the identity of a round trip together with columns that SQL can check; the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import varint as v
 from ..functions import wire as w
-from ..operators import delta, dictionary, flagged, structural
+from ..operators import columns, delta, dictionary, flagged, records, structural
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -224,10 +224,15 @@ def flagged_text_roundtrip(spark, sf_dir):
     return rows.select("t", "k", size.alias("raw_len"), (flagged.read_flagged(F.col("wire"), True) == F.col("x")).alias("same"), (F.octet_length("wire") <= size + v.varint_len(size.cast("long") * 2)).alias("not_longer"))
 
 
-@_query()
+@_query(f"""SELECT lang, count(*) AS n, sum(octet_length(b))::BIGINT AS raw_bytes, sum((octet_length(b) >= 64 AND NOT {_GATE})::INTEGER)::BIGINT AS n_tried, true AS not_longer
+FROM (SELECT lang, encode(text) AS b, regexp_extract_all(left(hex(encode(text)), 64), '..') AS p FROM documents) GROUP BY lang""")
 def flagged_size_report(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("raw"), flagged.flagged(F.col("text"), True).alias("wire"))
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.sum(F.octet_length("wire")).alias("wire_bytes"), F.sum(flagged.is_compressed(F.col("wire")).cast("long")).alias("n_compressed"))
+    """Sizes depend on the compressor's version; what SQL can say is that none grows and only what was tried shrinks."""
+    data = F.col("text").cast("binary")
+    rows = _read(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("raw"), flagged.compressible(data).alias("tried"), flagged.flagged(F.col("text"), True).alias("wire"))
+    head = F.col("raw") + flagged.flagged_header_len(F.col("raw"))
+    right = F.when(flagged.is_compressed(F.col("wire")), F.col("tried") & (F.octet_length("wire") < head)).otherwise(F.octet_length("wire") == head)
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.sum(F.col("tried").cast("long")).alias("n_tried"), F.bool_and(right).alias("not_longer"))
 
 
 # ---- dictionary
@@ -348,17 +353,47 @@ FROM (SELECT *, turn = min(turn) OVER (PARTITION BY conv_id) AS f FROM conversat
 def delta_modes(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
     done = delta.encode(rows, "conv_id", "turn", "b")
-    from pyspark.sql import Window
-
     first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
     return done.select("conv_id", "turn", F.octet_length("b").alias("raw_len"), first.alias("is_first"), F.when(first, F.hex("wire")).alias("whole_hex"), (F.col("mode").between(0, 2) & (~first | (F.col("mode") == 0))).alias("mode_ok"))
 
 
-@_query()
+@_query("""SELECT turn = first AS is_first, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS raw_bytes, true AS bounded
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY ALL""")
 def delta_mode_report(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
-    done = delta.encode(rows, "conv_id", "turn", "b")
-    return done.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("b")).alias("raw_bytes"), F.sum(F.octet_length("wire")).alias("wire_bytes"))
+    done = delta.encode(rows, "conv_id", "turn", "b", strict_min=True)
+    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    whole = 1 + v.varint_len(F.octet_length("b")) + F.octet_length("b")
+    done = done.select(first.alias("is_first"), F.octet_length("b").alias("raw"), (F.octet_length("wire") <= whole).alias("ok"))
+    return done.groupBy("is_first").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.bool_and("ok").alias("bounded"))
+
+
+#: Pairs of blobs whose mode follows from their lengths: one byte changed in 240 (patches), all bytes shifted by a constant
+#: (patches hold more than half, the exclusive-or is one repeated byte), and two hashes (nothing shrinks).
+@_query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS mode, CASE event_id % 3 WHEN 0 THEN 240 WHEN 1 THEN 300 ELSE 32 END AS n, true AS same,
+  CASE event_id % 3 WHEN 0 THEN '01' || '81F0' || '01' || lpad(to_hex(event_id % 100), 2, '0') || '01' || '7A' WHEN 2 THEN '0020' || upper(sha256('b' || event_id)) END AS wire_hex FROM events""")
+def delta_strategy(spark, sf_dir):
+    rows, key = _read(spark, sf_dir, "events").select("event_id"), F.col("event_id")
+    kind, at = F.pmod(key, F.lit(3)), F.pmod(key, F.lit(100)).cast("int")
+    base = F.repeat(F.lit("x"), 240)
+    hashed = lambda c: F.unhex(F.sha2(F.concat(F.lit(c), key.cast("string")), 256))
+    old = F.when(kind == 0, base.cast("binary")).when(kind == 1, F.repeat(F.lit("A"), 300).cast("binary")).otherwise(hashed("a"))
+    new = F.when(kind == 0, F.concat(F.substring(base, F.lit(1), at), F.lit("z"), F.substring(base, at + 2, F.lit(240))).cast("binary")).when(kind == 1, F.repeat(F.lit("B"), 300).cast("binary")).otherwise(hashed("b"))
+    pairs = rows.select("event_id", F.explode(F.array(F.struct(F.lit(1).alias("pos"), old.alias("b")), F.struct(F.lit(2).alias("pos"), new.alias("b")))).alias("p")).select("event_id", "p.*")
+    done = delta.encode(pairs, "event_id", "pos", "b")
+    back = delta.decode(done, "event_id", "pos").filter("pos = 2")
+    wire = done.filter("pos = 2").select("event_id", "wire")
+    return back.join(wire, "event_id").select("event_id", "mode", F.octet_length("blob").alias("n"), (F.col("blob") == F.col("b")).alias("same"), F.when(F.col("mode") != 2, F.hex("wire")).alias("wire_hex"))
+
+
+@_query(f"""SELECT event_id, f OR r AS whole, CASE WHEN f OR r THEN '00' || {_varint('octet_length(b)')} || hex(b) END AS whole_hex, hex(b) AS blob_hex
+FROM (SELECT event_id, encode(props) AS b, event_id % 7 = 0 AS r, event_id = min(event_id) OVER (PARTITION BY user_id) AS f FROM events)""")
+def delta_remove_key(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("props").cast("binary").alias("b"), (F.pmod("event_id", F.lit(7)) == 0).alias("forget"))
+    rows = delta.with_previous(rows, "user_id", "event_id", "b", "previous", "forget").withColumn("whole", F.col("previous").isNull()).drop("previous")
+    done = delta.encode(rows, "user_id", "event_id", "b", remove="forget").drop("b", "mode").withColumn("kept", F.col("wire"))
+    back = delta.decode(done, "user_id", "event_id", remove="forget")
+    return back.select("event_id", "whole", F.when(F.col("whole"), F.hex("kept")).alias("whole_hex"), F.hex("blob").alias("blob_hex"))
 
 
 @_query("SELECT 'events' AS t, user_id AS k, event_id AS pos, hex(encode(props)) AS blob_hex FROM events UNION ALL SELECT 'conversations', conv_id, turn, hex(encode(text)) FROM conversations")
@@ -377,18 +412,133 @@ def delta_store_stats(spark, sf_dir):
     return delta.store_stats(rows, "user_id", "event_id", "b")
 
 
+# ---- contexts, records and other types as columns
+
+_LEAVES = """WITH l AS (SELECT o_custkey % 16 AS scope, o_orderkey, o_custkey % 50 AS part, o_orderkey % 40 AS supp, o_orderkey * 3 AS pos FROM orders),
+v AS (SELECT scope, pos, 'part' AS t, part AS x FROM l UNION ALL SELECT scope, pos + 1, 'supp', supp FROM l UNION ALL SELECT scope, pos + 2, 'part', part + 1 FROM l),
+f AS (SELECT *, min(pos) OVER (PARTITION BY scope, t, x) AS fp FROM v), d AS (SELECT *, dense_rank() OVER (PARTITION BY scope ORDER BY fp) AS id FROM f),"""
+
+
+@_query(f"""{_LEAVES} h AS (SELECT pos, CASE WHEN fp = pos THEN '00' || {_le8('x')} ELSE {_varint('id')} END AS h FROM d)
+SELECT o_orderkey, {_varint('o_orderkey')} || a.h || '01' || b.h || c.h AS wire_hex, part AS part_back, supp AS supp_back, part + 1 AS next_back
+FROM l JOIN h a ON a.pos = l.pos JOIN h b ON b.pos = l.pos + 1 JOIN h c ON c.pos = l.pos + 2""")
+def context_dictionary(spark, sf_dir):
+    """Dictionary leaves of two types inside one struct: ids in order of rows and fields, scope by scope, and back."""
+    part, supp = w.Keyed("part", w.U64), w.Keyed("supp", w.U64)
+    kind = w.Struct(("key", w.U64), ("part", part), ("supp", w.Option(supp)), ("more", w.Struct(("next", part))))
+    rows = _read(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(16)).alias("scope"), "o_orderkey", F.pmod("o_custkey", F.lit(50)).alias("part"), F.pmod("o_orderkey", F.lit(40)).alias("supp"))
+    value = F.struct(F.col("o_orderkey").alias("key"), "part", "supp", F.struct((F.col("part") + 1).alias("next")).alias("more"))
+    wire = columns.encode_rows(rows.select("scope", "o_orderkey", value.alias("v")), "v", kind, "o_orderkey", "scope").drop("v").withColumn("kept", F.col("wire"))
+    back = columns.decode_rows(wire, "wire", kind, "o_orderkey", "scope", value="b")
+    return back.select("o_orderkey", F.hex("kept").alias("wire_hex"), F.col("b.part").alias("part_back"), F.col("b.supp").alias("supp_back"), F.col("b.more.next").alias("next_back"))
+
+
+@_query(f"""SELECT event_id, {_varint('event_id')} AS head_hex, CASE WHEN f OR c THEN '00' || {_varint('octet_length(b)')} || hex(b) END AS whole_hex, hex(b) AS blob_hex
+FROM (SELECT event_id, encode(props) AS b, e <> lag(e, 1, e) OVER w AS c, row_number() OVER w = 1 AS f FROM (SELECT *, event_id // 1000 AS e FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
+def context_delta(spark, sf_dir):
+    """A byte leaf inside a struct as a delta to the key's last blob; the store is emptied at each slot."""
+    kind = w.Struct(("id", w.U64), ("body", w.BYTES))
+    rows = _read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("slot"), "user_id", "event_id", F.struct(F.col("event_id").alias("id"), F.col("props").cast("binary").alias("body")).alias("v"))
+    options = {"dictionary": False, "key": "user_id"}
+    wire = columns.encode_rows(rows.withColumn("part", F.pmod("user_id", F.lit(8))), "v", kind, "event_id", ["part", "slot"], **options).drop("v")
+    back = columns.decode_rows(wire.withColumn("kept", F.col("wire")), "wire", kind, "event_id", ["part", "slot"], **options)
+    head = v.varint_len(F.col("event_id"))
+    body = F.substring(F.hex("kept"), head * 2 + 1, F.lit(1 << 20))
+    first = F.row_number().over(Window.partitionBy("user_id", "slot").orderBy("event_id")) == 1
+    return back.select("event_id", F.substring(F.hex("kept"), F.lit(1), head * 2).alias("head_hex"), F.when(first, body).alias("whole_hex"), F.hex("value.body").alias("blob_hex"))
+
+
+_REWARD_TAG = "c_custkey % 4"
+
+
+@_query(f"""SELECT c_custkey, {_text('c_name')} || {_signed(_CENTS)} || {_varint('c_custkey * 1000003')} || CASE WHEN c_custkey % 5 = 0 THEN '00' ELSE '01' || lpad(to_hex({_REWARD_TAG}), 2, '0') END
+  || CASE WHEN c_custkey % 3 = 0 THEN '00' ELSE '01' || lpad(to_hex(c_custkey % 200), 2, '0') END AS wire_hex, c_name AS name_back, {_CENTS} AS cents_back,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE ['Fee', 'Rent', 'Staking', 'Voting'][{_REWARD_TAG} + 1] END AS type_back FROM customer""")
+def record_reward(spark, sf_dir):
+    key = F.col("c_custkey")
+    kinds = F.array(*[F.lit(x) for x in records.REWARD_TYPES])
+    value = F.struct(
+        F.col("c_name").alias("pubkey"), F.round(F.col("c_acctbal") * 100).cast("long").alias("lamports"), (key * 1000003).cast("long").alias("post_balance"),
+        F.when(key % 5 != 0, F.get(kinds, F.pmod(key, F.lit(4)).cast("int"))).alias("reward_type"), F.when(key % 3 != 0, F.pmod(key, F.lit(200)).cast("short")).alias("commission"),
+    )
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", columns.encode_value(value, "record.Reward").alias("wire"))
+    rows = rows.withColumn("b", columns.decode_value(F.col("wire"), "record.Reward"))
+    return rows.select("c_custkey", F.hex("wire").alias("wire_hex"), F.col("b.pubkey").alias("name_back"), F.col("b.lamports").alias("cents_back"), F.col("b.reward_type").alias("type_back"))
+
+
+_PUBKEY = "lpad(to_hex({x}), 64, '0')"
+
+
+@_query(f"""WITH m AS (SELECT o_custkey % 10 AS scope, o_orderkey AS pos, o_custkey AS a, o_orderkey % 20 AS b FROM orders),
+v AS (SELECT scope, pos * 2 AS p, a AS x FROM m UNION ALL SELECT scope, pos * 2 + 1, b FROM m), f AS (SELECT *, min(p) OVER (PARTITION BY scope, x) AS fp FROM v),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY scope ORDER BY fp) AS id FROM f), h AS (SELECT p, CASE WHEN fp = p THEN '00' || {_PUBKEY.format(x='x')} ELSE {_varint('id')} END AS h FROM d)
+SELECT pos AS o_orderkey, '830200' || lpad(to_hex(pos % 255 + 1), 2, '0') || '02' || i.h || j.h || {_PUBKEY.format(x='pos')} || '01' || '07' || '04' || '0001' || '02' || '41' AS wire_hex, 2::BIGINT AS n_keys
+FROM m JOIN h i ON i.p = pos * 2 JOIN h j ON j.p = pos * 2 + 1""")
+def record_message(spark, sf_dir):
+    """A message record with its public keys in a dictionary: header, two keys, hash, one instruction."""
+    long_key = lambda x: F.unhex(F.lpad(F.hex(x), 64, "0"))
+    u8 = lambda x: F.lit(x).cast("short")
+    value = F.struct(
+        F.struct(u8(2).alias("required_signatures"), u8(0).alias("readonly_signed"), (F.pmod("o_orderkey", F.lit(255)) + 1).cast("short").alias("readonly_unsigned")).alias("header"),
+        F.array(long_key(F.col("o_custkey")), long_key(F.pmod("o_orderkey", F.lit(20)))).alias("account_keys"), long_key(F.col("o_orderkey")).alias("recent_blockhash"),
+        F.array(F.struct(u8(7).alias("program_id_index"), F.unhex(F.lit("0001")).alias("accounts"), F.unhex(F.lit("41")).alias("data"))).alias("instructions"),
+    )
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_custkey", F.lit(10)).alias("scope"), value.alias("v"))
+    wire = columns.encode_rows(rows, "v", "record.LegacyMessageBody", "o_orderkey", "scope").withColumn("kept", F.col("wire"))
+    back = columns.decode_rows(wire, "wire", "record.LegacyMessageBody", "o_orderkey", "scope", value="b")
+    same = F.when(F.col("b.account_keys") == F.col("v.account_keys"), F.size("b.account_keys").cast("long"))
+    return back.select("o_orderkey", F.hex("kept").alias("wire_hex"), same.alias("n_keys"))
+
+
+@_query(f"""SELECT event_id, CASE event_type WHEN 'click' THEN '00' WHEN 'purchase' THEN '01' || {_varint('user_id')} ELSE '02' || {_text('event_type')} END AS wire_hex,
+  CASE event_type WHEN 'click' THEN 'Click' WHEN 'purchase' THEN 'Purchase' ELSE 'Other' END AS tag, CASE WHEN event_type = 'purchase' THEN user_id END AS user_back,
+  CASE WHEN event_type NOT IN ('click', 'purchase') THEN event_type END AS name_back FROM events""")
+def enum_decode(spark, sf_dir):
+    kind = w.Enum("Click", ("Purchase", w.U64), ("Other", w.STR))
+    tag = F.when(F.col("event_type") == "click", "Click").when(F.col("event_type") == "purchase", "Purchase").otherwise("Other")
+    value = F.struct(tag.alias("tag"), F.col("user_id").alias("Purchase"), F.col("event_type").alias("Other"))
+    rows = _read(spark, sf_dir, "events").select("event_id", columns.encode_value(value, kind).alias("wire")).withColumn("b", columns.decode_value(F.col("wire"), kind))
+    return rows.select("event_id", F.hex("wire").alias("wire_hex"), "b.tag", F.col("b.Purchase").alias("user_back"), F.col("b.Other").alias("name_back"))
+
+
+@_query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '01' || {_varint('o_custkey')} || {_varint('(o_custkey + 9)')} ELSE '00' || {_text('o_orderstatus')} END AS result_hex,
+  {_varint('o_custkey')} || {_varint('(o_orderkey % 7)')} || {_varint('300')} AS array_hex, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 9 END AS end_back, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS error_back,
+  o_orderkey % 7 AS second_back, {_le8('o_orderkey')} || lpad(to_hex(o_orderkey % 256), 2, '0') || '2C010000' AS packed_hex, o_orderkey AS packed_back FROM orders""")
+def result_range_array_pack(spark, sf_dir):
+    """Results, ranges, fixed arrays and fixed-width structs as columns, and back."""
+    result, three = w.Result(w.range_of(w.U64), w.STR), w.Array(w.U64, 3)
+    fixed = w.Struct(("key", w.U64), ("low", w.U8), ("rest", w.Array(w.U16, 2)))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    value = F.struct((key % 2 == 0).alias("ok"), F.struct(cust.alias("start"), (cust + 9).alias("end")).alias("value"), F.col("o_orderstatus").alias("error"))
+    packed = F.struct(key.alias("key"), F.pmod(key, F.lit(256)).cast("short").alias("low"), F.array(F.lit(300), F.lit(0)).alias("rest"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", columns.encode_value(value, result).alias("r"), columns.encode_value(F.array(cust, key % 7, F.lit(300).cast("long")), three).alias("a"), columns.pack_value(packed, fixed).alias("p"))
+    rows = rows.withColumns({"rb": columns.decode_value(F.col("r"), result), "ab": columns.decode_value(F.col("a"), three), "pb": columns.unpack_value(columns.fits(F.col("p"), 13), fixed)})
+    return rows.select("o_orderkey", F.hex("r").alias("result_hex"), F.hex("a").alias("array_hex"), F.col("rb.value.end").alias("end_back"), F.col("rb.error").alias("error_back"), F.get("ab", F.lit(1)).alias("second_back"), F.hex("p").alias("packed_hex"), F.col("pb.key").alias("packed_back"))
+
+
+@_query("""WITH e AS (SELECT event_id, event_type AS t, user_id % 40 AS x, sum((event_id % 500 = 0)::INTEGER) OVER (PARTITION BY event_type ORDER BY event_id) AS epoch FROM events),
+f AS (SELECT *, min(event_id) OVER (PARTITION BY t, epoch, x) AS fp FROM e), d AS (SELECT *, dense_rank() OVER (ORDER BY fp) AS id FROM f)
+SELECT event_id, t, CASE WHEN fp = event_id THEN 0 ELSE id END AS wire_id, x AS decoded FROM d""")
+def dedupe_clear_type(spark, sf_dir):
+    """Values of a type are forgotten where a row of the type is marked; ids go on in one counter."""
+    rows = _read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("t"), F.pmod("user_id", F.lit(40)).alias("x"), (F.pmod("event_id", F.lit(500)) == 0).alias("clear"))
+    rows = dictionary.clear_type_epochs(rows, "event_id", "clear", type_col="t")
+    done = dictionary.encode(rows, "x", "event_id", type_col="t", epoch="epoch")
+    wire = done.select("event_id", "t", "wire_id", F.when(F.col("is_new"), F.col("x")).alias("decoded"))
+    return dictionary.decode(wire, "decoded", "event_id", type_col="t")
+
+
 # ---- wide integers
 
 
 @_query(f"""SELECT o_orderkey, bits::INTEGER AS bits, CASE WHEN v < 128 THEN lpad(to_hex(v), 2, '0') ELSE to_hex(128 + ((length(to_hex(v)) + 1) // 2)) || {_pairs(_even('v'))} END AS wire_hex
 FROM (SELECT o_orderkey, o_orderkey % 100 AS bits, (o_orderkey::UHUGEINT * (1::UHUGEINT << (o_orderkey % 100)::UHUGEINT)) AS v FROM orders)""")
 def u256_varint(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(100)).cast("int").alias("bits"))
-
-    @F.pandas_udf("string")
-    def wide(key, bits):
-        import pandas as pd
-
-        return pd.Series([w.U256.dumps(int(k) << int(b)).hex().upper() for k, b in zip(key, bits, strict=True)])
-
-    return rows.select("o_orderkey", "bits", wide("o_orderkey", "bits").alias("wire_hex"))
+    """Integers beyond 64 bits: binary of full width, least byte first, through the column codec."""
+    bits = F.pmod("o_orderkey", F.lit(100)).cast("int")
+    low = F.lpad(F.bin("o_orderkey"), 64, "0")
+    digits = F.lpad(F.concat(low, F.repeat(F.lit("0"), bits)), 256, "0")  # shifted left by bits, as binary digits
+    parts = F.transform(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), lambda i: F.lpad(F.conv(F.substring(digits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", bits.alias("bits"), F.unhex(F.array_join(parts, "")).alias("v")).withColumn("wire", columns.encode_value(F.col("v"), "u256"))
+    same = columns.decode_value(F.col("wire"), "u256") == F.col("v")
+    return rows.select("o_orderkey", "bits", F.when(same, F.hex("wire")).alias("wire_hex"))

@@ -1,5 +1,5 @@
 """Data sources: the framed container for encoded streams."""
 
-from .container import ContainerSource
+from .container import ContainerSource, read_container
 
-__all__ = ["ContainerSource"]
+__all__ = ["ContainerSource", "read_container"]

@@ -43,9 +43,3 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1500
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-@pytest.mark.parametrize("name", ["flagged_size_report", "delta_mode_report"])
-def test_reports(spark, name):
-    rows = catalogue.QUERIES[name](spark, str(DATA)).collect()
-    assert rows and all(r.wire_bytes <= r.raw_bytes + 16 * r.n for r in rows)
