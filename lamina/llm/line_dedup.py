@@ -54,7 +54,7 @@ def repeated_windows(rows: DataFrame, run_lines: int = RUN_LINES, long_words: in
     found = stage(fingerprints(rows, run_lines, long_words), "line-fingerprints")
     # staged by itself, and joined under a name that nothing behind it groups by, so that a hot fingerprint's rows are split
     common = stage(found.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "line-common")
-    anchors = found.join(common, "fp", "left_semi").select(F.struct("_id", "_rid", "at").alias("place"), "around", F.xxhash64("around").alias("key1"), F.xxhash64(F.lit("second"), "around").alias("key2"))
+    anchors = found.join(common.hint("merge"), "fp", "left_semi").select(F.struct("_id", "_rid", "at").alias("place"), "around", F.xxhash64("around").alias("key1"), F.xxhash64(F.lit("second"), "around").alias("key2"))
     anchors = stage(anchors, "line-anchors")
     drop_staged(found)
     alike = stage(anchors.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c"), F.first("around").alias("around")), "line-alike")
@@ -62,10 +62,10 @@ def repeated_windows(rows: DataFrame, run_lines: int = RUN_LINES, long_words: in
     windows = alike.select("key1", "key2", "first", F.explode("around").alias("w")).select("key1", "key2", "w.*", F.struct(F.col("first._id").alias("id"), F.col("first._rid").alias("rid"), (F.col("first.at") + F.col("w.s")).alias("i")).alias("at"))
     windows = stage(windows, "line-windows")
     least = stage(windows.groupBy("a", "b").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b", "least"), "line-least")
-    later = windows.join(least, ["a", "b"]).filter(~F.col("at").eqNullSafe(F.col("least"))).select(F.col("at.rid").alias("_rid"), F.col("at.i").alias("i"), "n")
+    later = windows.join(least.hint("merge"), ["a", "b"]).filter(~F.col("at").eqNullSafe(F.col("least"))).select(F.col("at.rid").alias("_rid"), F.col("at.i").alias("i"), "n")
     # the others of alike positions: all their windows stand earlier
     several = stage(alike.filter("c > 1").select("key1", "key2", "first"), "line-several")
-    copies = anchors.join(several, ["key1", "key2"]).filter(~F.col("place").eqNullSafe(F.col("first"))).select("place", F.explode("around").alias("w"))
+    copies = anchors.join(several.hint("merge"), ["key1", "key2"]).filter(~F.col("place").eqNullSafe(F.col("first"))).select("place", F.explode("around").alias("w"))
     copies = copies.select(F.col("place._rid").alias("_rid"), (F.col("place.at") + F.col("w.s")).alias("i"), F.col("w.n").alias("n"))
     return later.union(copies)
 
@@ -85,7 +85,7 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = L
     hits = repeated_windows(rows.select("_rid", F.col("_row")[id_col].alias("_id"), text.alias("_text")), run_lines, long_words).groupBy("_rid").agg(F.collect_list(F.struct("i", "n")).alias("_hits"))
     hits = stage(hits, "line-hits")
     collect_garbage(docs.sparkSession)
-    joined = rows.join(hits, "_rid", "left")
+    joined = rows.join(hits.hint("merge"), "_rid", "left")  # one row per document on either side, at any size
     lines = F.split(text, "\n", -1)
 
     def clean(x):
