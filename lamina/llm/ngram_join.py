@@ -1,10 +1,12 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact to the last link.
 
 Documents with equal shingle sets are one class.  Sizes are cut into bands so that only equal and neighbouring bands can
-hold a pair similar enough.  A pair of such sizes differs in at most d shingles, so of more than d segments of the
-hash range some are equal in both: segments are the keys that bring classes together.  The few classes of a small group are
-paired and each pair is held against its bound by bitmaps; those of a large one are chained to its first.  What is then
-connected makes up a candidate block.
+hold a pair similar enough.  A pair of such sizes differs in at most d shingles, so of d + s segments of the hash range at
+least s are equal in both: segments are the keys that bring classes together.  The few classes of a small group are paired
+and each pair is held against its bound by bitmaps.  A large group, say of documents with the same licence, is not: a pair
+that meets in large groups alone must meet in s of them, so classes that lie in fewer leave them, which makes groups
+smaller and others leave in turn.  What is left is paired, or chained to the group's first if it is still large.  What is
+then connected makes up a candidate block.
 Within a block, tiles of a bounded number of classes of a band meet the tiles of their own and the next band.  In a
 tile every class has a bitmap; the bits set in one and not in the other count shingles that it alone has, which bounds
 the intersection from above; pairs that pass are intersected exactly as sorted arrays.  Classes already connected are
@@ -36,6 +38,8 @@ HELD_KEYS = 600_000
 BUCKETS = 8
 #: Pairs that a task holds before it hands them on, each once.
 HELD_PAIRS = 400_000
+#: Rounds in which classes leave large groups.
+PEELED = 2
 #: Rows of the tables that may be broadcast.
 FEW = 200_000
 _U = np.uint64
@@ -106,16 +110,18 @@ class Bands:
     def of(self, size) -> np.ndarray:
         return np.searchsorted(self.lows, size, side="right") - 1
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of one sorted set: linked sets that aren't equal share at least one."""
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+        """Keys of one sorted set, bit 16 the parity of their tile; linked sets that aren't equal share at least `need` of
+        one tile, and at least one.  The needs of the even tile and, from bit 16, of the odd one are returned too."""
         if not len(shingles):
-            return shingles
+            return shingles, 0
+        needs = 0
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(shingles ^ _U(0x5851F42D4C957F2D)))))
         band, out = int(self.of(len(shingles))), []
         for tile in (band, band + 1):
             if not self.apart[tile]:
                 continue  # only equal sets can be linked
-            spare = 2 + self.apart[tile] // 16  # equal segments beyond the first; more empty ones than these are rare
+            spare = 2 + self.apart[tile] // 4  # equal segments beyond the first; more empty ones than these are rare
             m = self.apart[tile] + 1 + spare
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
             at = np.concatenate(([0], np.searchsorted(shingles, edges), [len(shingles)]))
@@ -123,8 +129,11 @@ class Bands:
             if m - full.sum() > spare:
                 full[:] = True  # equal empty segments could be all that a pair has in common
             names = _mix(np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(tile + 1))
-            out.append(_mix((total[at[1:]] - total[at[:-1]]) * _U(0xD6E8FEB86659FD93) + names)[full])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            named = _mix((total[at[1:]] - total[at[:-1]]) * _U(0xD6E8FEB86659FD93) + names)[full]
+            out.append((named & ~_U(1 << 16)) | _U((tile & 1) << 16))
+            # equal empty segments are no keys
+            needs |= min(0x7FFF, max(1, spare + 1 - int(m - full.sum()))) << (16 if tile & 1 else 0)
+        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), needs
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
@@ -186,8 +195,8 @@ def forest(names: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     return out
 
 
-_MIXED = "kind int, a long, b long, n int, bits binary, bucket int, keys binary, places binary, hot binary"
-_FOUND = "kind int, a long, b long, n int, bits binary"
+_MIXED = "kind int, a long, b long, n int, bits binary, bucket int, keys binary, places binary, hot binary, need int"
+_FOUND = "kind int, a long, b long, n int, bits binary, need int"
 _signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
@@ -195,22 +204,29 @@ def _class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
-def _reader(k: int, least: Fraction, buckets: int):
-    """documents -> kind 0: a = id, b = class (null: no shingle), n, bits; kind 1: packed keys of a bucket; kind 2: edge."""
+def _group_ids(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Names of keys, the same wherever they are made; bit 0 the parity of the tile."""
+    short = key >> _U(16)
+    return (_mix(short ^ _mix(key % _U(buckets) + _U(1))) & ~_U(1)) | (short & _U(1))
+
+
+def _reader(k: int, least: Fraction, buckets: int, paired: int):
+    """documents -> kind 0: a = id, b = class (null: no shingle), n, bits, need; kind 1: packed keys of a bucket;
+    kind 4: a = class, b = key of a large group."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(k), Bands(least)
         keys, owners, held, turn = [], [], 0, 0
         seen: set[int] = set()
 
-        def rows(kind, a, b, n=None, bits=None, bucket=None, packed=None, places=None, hot=None):
+        def rows(kind, a, b, n=None, bits=None, bucket=None, packed=None, places=None, hot=None, need=None):
             size = len(a)
             none = lambda t: pa.nulls(size, t)
             return pa.RecordBatch.from_arrays([
                 pa.array(np.full(size, kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64()),
                 none(pa.int32()) if n is None else pa.array(n, pa.int32()), none(pa.binary()) if bits is None else pa.array(bits, pa.binary()), pa.array(bucket, pa.int32()),
-                *[none(pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (packed, places, hot)],
-            ], names=["kind", "a", "b", "n", "bits", "bucket", "keys", "places", "hot"])
+                *[none(pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (packed, places, hot)], none(pa.int32()) if need is None else pa.array(need, pa.int32()),
+            ], names=["kind", "a", "b", "n", "bits", "bucket", "keys", "places", "hot", "need"])
 
         def flush():
             nonlocal keys, owners, held
@@ -219,12 +235,13 @@ def _reader(k: int, least: Fraction, buckets: int):
             key, owner = np.concatenate(keys), np.concatenate(owners)
             keys, owners, held = [], [], 0
             seen.clear()
-            # a large group is chained here and handed on as its first class alone
+            # of a group that is large here, the first class alone goes to the bucket, marked
             key, owner, first, size = grouped(key, owner)
-            hot = size > PAIRED
-            edges = distinct_pairs(owner[hot & ~first], leaders(owner, first)[hot & ~first])
-            if len(edges):
-                yield rows(2, _signed(edges[:, 0]), _signed(edges[:, 1]), bucket=np.arange(len(edges)) % buckets)
+            hot = size > paired
+            spread = np.flatnonzero(hot & ~first)
+            for low in range(0, len(spread), 100_000):
+                some = spread[low : low + 100_000]
+                yield rows(4, _signed(owner[some]), _signed(_group_ids(key[some], buckets)), bucket=np.arange(len(some)) % buckets)
             stay = first | ~hot
             key, owner, hot = key[stay], owner[stay], hot[stay]
             which = key % _U(buckets)
@@ -243,15 +260,17 @@ def _reader(k: int, least: Fraction, buckets: int):
                 sets = shingler.sets(part.column(1))
                 classes = np.array([_class_of(s) if len(s) else 0 for s in sets], dtype=np.uint64)
                 size = np.array([len(s) for s in sets], dtype=np.int32)
-                yield rows(0, part.column(0), pa.array(_signed(classes), mask=size == 0), size, [bitmap(x).tobytes() for x in sets], (np.arange(len(sets)) + turn) % buckets)
-                turn += len(sets)
+                needs = []
                 for name, s in zip(classes.tolist(), sets, strict=True):
+                    more, need = bands.keys(s)
+                    needs.append(need)
                     if len(s) and name not in seen:
                         seen.add(name)
-                        more = bands.keys(s)
                         keys.append(more)
                         owners.append(np.full(len(more), name, dtype=np.uint64))
                         held += len(more)
+                yield rows(0, part.column(0), pa.array(_signed(classes), mask=size == 0), size, [bitmap(x).tobytes() for x in sets], (np.arange(len(sets)) + turn) % buckets, need=needs)
+                turn += len(sets)
                 if held >= HELD_KEYS:
                     yield from flush()
         yield from flush()
@@ -295,63 +314,94 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (np.frombuffer(data, "<u4", n).astype(np.uint64) << _U(16)) | np.frombuffer(data, "<u2", n, 4 * n)
 
 
-def _bucket_pairs(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(edges of large groups, pairs of small ones) of one bucket's packed (keys, owners, hot)."""
+def _bucket_pairs(rows: list[tuple[bytes, bytes, bytes]], bucket: int, buckets: int, paired: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members (class, key) of large groups, pairs of small ones) of one bucket's packed (keys, owners, hot)."""
     key, owner = np.concatenate([_unpacked(k) for k, _, _ in rows]), np.concatenate([np.frombuffer(o, np.uint64) for _, o, _ in rows])
     hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(k) // 6).astype(bool) for k, _, h in rows])
     hot_keys = np.unique(key[hot])
     key, owner, first, size = grouped(key, owner)
-    several = size > 1
-    key, owner, first, size = key[several], owner[several], first[several], size[several]
-    chained = (size > PAIRED) | np.isin(key, hot_keys)
-    edges = distinct_pairs(owner[chained & ~first], leaders(owner, first)[chained & ~first])
-    few_key, few_owner = key[~chained], owner[~chained]
-    pairs = [edges[:0]]
-    for step in range(1, PAIRED):  # the classes of a key stand side by side
-        same = few_key[step:] == few_key[:-step]
+    large = (size > paired) | np.isin(key, hot_keys)
+    several = (size > 1) & ~large
+    ids = (_mix(key[large] ^ _mix(np.full(1, bucket, np.uint64) + _U(1))) & ~_U(1)) | (key[large] & _U(1))
+    key_few, owner_few = key[several], owner[several]
+    pairs = [np.zeros((0, 2), np.uint64)]
+    for step in range(1, paired):  # the classes of a key stand side by side
+        same = key_few[step:] == key_few[:-step]
         if not same.any():
             break
-        pairs.append(distinct_pairs(few_owner[step:][same], few_owner[:-step][same]))
-    return edges, np.concatenate(pairs)
+        pairs.append(distinct_pairs(owner_few[step:][same], owner_few[:-step][same]))
+    return np.stack([owner[large], ids], axis=1), np.concatenate(pairs)
+
 
+def _meet(buckets: int, paired: int):
+    """Rows sorted by bucket: passes others on; the keys of a bucket, the one that is held, become pairs (kind 3) or, in
+    large groups, members (kind 4)."""
+    names = ["kind", "a", "b", "n", "bits", "need"]
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: passes documents and edges on; the keys of a bucket, the one that is held, become pairs
-    (kind 3) or, in large groups, edges."""
-    names = ["kind", "a", "b", "n", "bits"]
-    bucket, rows, found = None, [], {2: [], 3: []}
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows, pairs = None, [], []
 
-    def flush(kind: int):
-        if found[kind]:
-            every = np.concatenate(found[kind])
-            found[kind].clear()
-            every = distinct_pairs(every[:, 0], every[:, 1])
+        def given(kind: int, every: np.ndarray):
             for low in range(0, len(every), 100_000):
                 some = every[low : low + 100_000]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(_signed(some[:, 0].copy())), pa.array(_signed(some[:, 1].copy())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-
-    def close():
-        if rows:
-            for kind, more in zip((2, 3), _bucket_pairs(rows), strict=True):
-                found[kind].append(more)
-                if sum(map(len, found[kind])) > HELD_PAIRS:
-                    yield from flush(kind)
-            rows.clear()
-
-    for batch in batches:
-        packed = pc.equal(batch.column(0), 1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(packed).tolist():
-            here = batch.column(5)[i].as_py()
-            if here != bucket:
-                yield from close()
-                bucket = here
-            rows.append(tuple(batch.column(6 + k)[i].as_py() for k in range(3)))
-        if not packed.all():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[:5], names=names)
-    yield from close()
-    yield from flush(2)
-    yield from flush(3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(_signed(some[:, 0].copy())), pa.array(_signed(some[:, 1].copy())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=names)
+
+        def flush():
+            if pairs:
+                every = np.concatenate(pairs)
+                pairs.clear()
+                yield from given(3, distinct_pairs(every[:, 0], every[:, 1]))
+
+        def close():
+            if rows:
+                members, more = _bucket_pairs(rows, bucket, buckets, paired)
+                rows.clear()
+                yield from given(4, members)
+                pairs.append(more)
+                if sum(map(len, pairs)) > HELD_PAIRS:
+                    yield from flush()
+
+        for batch in batches:
+            packed = pc.equal(batch.column(0), 1).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(packed).tolist():
+                here = batch.column(5)[i].as_py()
+                if here != bucket:
+                    yield from close()
+                    bucket = here
+                rows.append(tuple(batch.column(6 + k)[i].as_py() for k in range(3)))
+            if not packed.all():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).select(names).columns, names=names)
+        yield from close()
+        yield from flush()
+
+    return meet
+
+
+def _large_groups(members: DataFrame, needs: DataFrame, paired: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), edges (u, v)) of the members (class, key) of large groups; needs: (class, need).
+
+    Two linked classes that share keys of large groups alone share as many of one tile as both need, so a class with fewer
+    members has no such link and leaves.  Every round is exact by itself, so their number is a matter of cost.
+    """
+    now = stage(members.distinct(), "join-members")
+    for _ in range(PEELED):
+        parity = F.col("key").bitwiseAND(F.lit(1).cast("long"))
+        counts = now.groupBy("class", parity.alias("odd")).agg(F.count(F.lit(1)).alias("c"))
+        need = F.when(F.col("odd") == 1, F.shiftright("need", 16)).otherwise(F.col("need").bitwiseAND(F.lit(0x7FFF)))
+        enough = counts.join(needs.hint("merge"), "class").filter(F.col("c") >= need).select("class", "odd")
+        left = stage(now.withColumn("odd", parity).join(enough.hint("merge"), ["class", "odd"], "left_semi").drop("odd"), "join-members")
+        several = stage(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "join-groups")
+        after = stage(left.join(several.hint("merge"), "key", "left_semi"), "join-members")
+        for old in (now, left, several):
+            drop_staged(old)
+        now = after
+    sizes = stage(now.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("first")), "join-groups")
+    small = stage(now.join(sizes.filter(F.col("c") <= paired).select("key").hint("merge"), "key", "left_semi"), "join-small")
+    x, y = small.select("key", F.col("class").alias("a")), small.select("key", F.col("class").alias("b"))
+    pairs = x.join(y.hint("merge"), "key").filter("a > b").select("a", "b")  # groups of at most `paired` classes
+    chained = now.join(sizes.filter(F.col("c") > paired).select("key", "first").hint("merge"), "key")
+    return pairs, chained.select(F.col("class").alias("u"), F.col("first").alias("v")).filter("u <> v")
 
 
 def _within(least: Fraction):
@@ -424,18 +474,20 @@ def _roots(rows: DataFrame, k: int, least: Fraction) -> DataFrame:
     """rows (id, text; null ids allowed) -> staged (id, n, root) per row; root names the component, null without shingles."""
     spark = rows.sparkSession
     tasks = partitions(spark)
-    mixed = rows.mapInArrow(_reader(k, least, BUCKETS * tasks), _MIXED).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND)
+    buckets = BUCKETS * tasks
+    mixed = rows.mapInArrow(_reader(k, least, buckets, PAIRED), _MIXED).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(buckets, PAIRED), _FOUND)
     mixed = stage(mixed, "join-documents")
     collect_garbage(spark)  # the shuffled keys
     found = mixed.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
     # one row per class; partial aggregates take care of a class with very many documents
-    classes = mixed.filter("kind = 0 and b is not null").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    classes = mixed.filter("kind = 0 and b is not null").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("id"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.max("need").alias("need"))
     classes = stage(classes, "join-classes")
+    more, chained = _large_groups(mixed.filter("kind = 4").select(F.col("a").alias("class"), F.col("b").alias("key")), classes.select("class", "need"), PAIRED)
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    pairs = mixed.filter("kind = 3").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    edges = pairs.mapInArrow(_within(least), "u long, v long").union(mixed.filter("kind = 2").select("a", "b"))
+    pairs = mixed.filter("kind = 3").select("a", "b").union(more).distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    edges = pairs.mapInArrow(_within(least), "u long, v long").union(chained)
     blocks = components(edges)
-    links = stage(_links(rows, classes.drop("bits"), blocks, k, least), "join-links")
+    links = stage(_links(rows, classes.select("class", "id", "n"), blocks, k, least), "join-links")
     collect_garbage(spark)
     roots = components(links)
     table, _ = bounded_broadcast(roots.withColumnsRenamed({"node": "class"}), FEW)

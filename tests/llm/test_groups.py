@@ -150,6 +150,8 @@ def test_jaccard(spark, k, least, monkeypatch):
         monkeypatch.setattr(ngram_join, "TILE_CLASSES", 4)
         monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
         assert got() == want
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)  # every group counts as large
+    assert got() == want
 
 
 def test_segments_meet():
@@ -161,7 +163,11 @@ def test_segments_meet():
         b = np.unique(np.concatenate((a[apart:], rng.integers(0, 2**63, int(rng.integers(0, 3)), dtype=np.uint64))))
         a = np.unique(a)
         if ngram_join.linked(a, b, Fraction(9, 10)) and not np.array_equal(a, b):
-            assert set(bands.keys(a)) & set(bands.keys(b))
+            (x, x_need), (y, y_need) = bands.keys(a), bands.keys(b)
+            common = np.intersect1d(x, y)
+            odd = (common >> np.uint64(16)) & np.uint64(1)
+            tile = max(int(bands.of(len(a))), int(bands.of(len(b)))) & 1
+            assert (odd == tile).sum() >= max((x_need >> 16 * tile) & 0x7FFF, (y_need >> 16 * tile) & 0x7FFF, 1)
 
 
 def test_shingler_slices():
