@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, read_table, stage
+from .common import join_groups, partitions, read_table, stage
 
 #: Larger rates are drawn as sums of draws of at most this mean (a sum of Poisson numbers is one), so exp() cannot underflow.
 _CHUNK = 256
@@ -55,7 +55,7 @@ def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """The documents with all their columns, each as many times as drawn, in a global random order.
+    """The documents with all their columns, each as many times as drawn, in a global random order (partition by partition).
 
     Adds copy (from 1) and shuffle_key (long, the order).  An input column named so is replaced.  Rows with equal ids
     draw equal numbers; a null id draws like any other; null and empty texts weigh one byte.  No rows: none.
@@ -70,7 +70,10 @@ def mix_sources(
     rows = rows.filter(F.col("_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     name = F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))
     rows = rows.withColumn("shuffle_key", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
-    return rows.select(*kept, "copy", "shuffle_key").orderBy("shuffle_key")
+    # the key is uniform below 2**60, so ranges of equal width are even and no sample has to be drawn first
+    parts = partitions(docs.sparkSession)
+    place = F.shiftright(F.shiftright("shuffle_key", 30) * parts, 30).cast("int")
+    return rows.select(*kept, "copy", "shuffle_key").repartitionById(parts, place).sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
