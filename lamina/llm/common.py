@@ -16,6 +16,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _local_root: str | None = None
 _staged: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,13 +41,16 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through Hadoop's file system, so that remote paths work too."""
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{_tables.pop(path)}`")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
-def _discard_all() -> None:
+def discard_all() -> None:
+    """Delete every table between steps of this process; for long sessions, once their results have been written."""
     for spark, path in _staged:
         try:
             if spark.sparkContext._jsc is not None:
@@ -83,8 +87,23 @@ def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """As stage(), bucketed by the key: joins on it find the rows where they lie and shuffle the other side alone.
+
+    One file to a bucket, as many as shuffle partitions; the table is known to the session's catalog until it is dropped.
+    """
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    path = new_folder(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "snappy").format("parquet").saveAsTable(name)
+    _tables[path] = name
+    out = spark.table(name)
+    out._lamina_path = path
+    return out
+
+
 def drop_staged(df: DataFrame) -> None:
-    """Delete a table made by stage() that no later plan reads."""
+    """Delete a table made by stage() or stage_by() that no later plan reads."""
     path = getattr(df, "_lamina_path", None)
     if path:
         discard(df.sparkSession, path)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import collect_garbage, drop_staged, partitions, stage
 
 #: Symbols that one task sorts; a constant, whatever the string's length.
-BASE = 100_000
+BASE = 4096
 #: Positions to a window; two more are seen behind it.
 BLOCK = 3 << 14
 NONE = -(2**63)

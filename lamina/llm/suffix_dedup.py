@@ -8,15 +8,17 @@
    can reach.  Equal neighbours: every window that starts in the phrase is repeated.  The first suffix of a run of equal
    ones stands for all.
 4. What is left are windows at the edges of repeats: they start in a phrase of which not all windows are known, though
-   all whole phrases inside them are repeated.  They are grouped in blocks of 64 starts aligned to the cut behind them;
-   blocks whose common bytes stand once are settled, the windows of the others (and of representatives that share their
-   common bytes) are counted by hash, one by one.  Windows without a cut inside are counted so from the start.
+   all whole phrases inside them are repeated.  They are grouped in blocks of 64 starts aligned to the cut behind them.
+   A block whose windows' common bytes stand once holds no repeat; one whose windows' joint bytes stand twice is repeated
+   whole; the others (and one block for each content they have to be held against) are cut into blocks of 8 starts, and
+   what those leave open into single windows.  Windows without a cut inside are counted by hash from the start.
 Counts are partial aggregates and names are paired in the map tasks first, so a passage that a third of the documents
 share is no group of rows in any task.  Strings count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, drop_staged, partitions, read_table, stage
+from .common import collect_garbage, drop_staged, partitions, read_table, stage, stage_by
 from .suffix_array import suffix_ranks
 
 LENGTH = 400
 #: Bytes that decide on a cut, and the mean distance of cuts.
 GRAM, EVERY = 16, 64
-#: Starts to a block of edge windows.
-STARTS = 64
+#: Starts to a block of edge windows, and to the blocks that open ones are cut into.
+STARTS, FEWER = 64, 8
 _U = np.uint64
 _MULT, _INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -172,20 +174,16 @@ def _post(buckets: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """-> (i, s) of the phrases whose name stands twice or more."""
-    name, i, again = [], [], []
-    for batch in batches:
-        packed = np.array(batch.column(0).to_numpy() == 1)
-        for k in np.flatnonzero(packed):
-            data = batch.column(4)[k].as_py()
-            n = len(data) // 17
-            name.append(np.frombuffer(data, np.int64, n))
-            i.append(np.frombuffer(data, np.int64, n, 8 * n))
-            again.append(np.frombuffer(data, bool, n, 16 * n))
-        if not packed.all():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[1:3], names=["i", "s"])
-    if name:
-        name, i, again = map(np.concatenate, (name, i, again))
+    """Rows sorted by bucket -> (i, s) of the phrases whose name stands twice or more; one bucket is held at a time."""
+    bucket, held = None, []
+
+    def close():
+        if not held:
+            return
+        parts = [(len(data) // 17, data) for data in held]
+        name, i = (np.concatenate([np.frombuffer(data, np.int64, n, at * n) for n, data in parts]) for at in (0, 8))
+        again = np.concatenate([np.frombuffer(data, bool, n, 16 * n) for n, data in parts])
+        held.clear()
         order = np.argsort(name, kind="stable")
         name, i, again = name[order], i[order], again[order]
         first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
@@ -193,6 +191,18 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.repeat(size > 1, size) & ~again
         yield pa.RecordBatch.from_arrays([pa.array(i[new]), pa.array(name[new])], names=["i", "s"])
 
+    for batch in batches:
+        packed = np.array(batch.column(0).to_numpy() == 1)
+        for k in np.flatnonzero(packed).tolist():
+            here = batch.column(3)[k].as_py()
+            if here != bucket:
+                yield from close()
+                bucket = here
+            held.append(batch.column(4)[k].as_py())
+        if not packed.all():
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~packed)).columns[1:3], names=["i", "s"])
+    yield from close()
+
 
 def _reach(cuts: np.ndarray, length: int) -> np.ndarray:
     """For each phrase j the first cut at or behind cuts[j + 1] + length, or the end."""
@@ -271,13 +281,11 @@ def _edges(cuts: np.ndarray, state: np.ndarray, length: int) -> np.ndarray:
     return np.stack([j[ok], b[ok]], axis=1)
 
 
-def _starts(cuts: np.ndarray, j: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Window starts of blocks."""
+def _spans(cuts: np.ndarray, j: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start of blocks, and where the last would be but for the text's end; last < first: no window."""
     size = np.diff(cuts)[j]
-    low = np.minimum(np.minimum(STARTS * (b + 1), size), length - GRAM)
-    count = low - STARTS * b
-    start = np.repeat(cuts[1:][j] - low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return start[start <= cuts[-1] - length]
+    first, base = cuts[1:][j] - np.minimum(np.minimum(STARTS * (b + 1), size), length - GRAM), cuts[1:][j] - STARTS * b - 1
+    return first, np.minimum(base, cuts[-1] - length), base
 
 
 def _cutless(cuts: np.ndarray, state: np.ndarray, length: int) -> np.ndarray:
@@ -301,9 +309,32 @@ def _once(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return distinct, start[first], start[count[where] > 1]
 
 
+def _keys(hashed: Hashed, first: np.ndarray, last: np.ndarray, base: np.ndarray, starts: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bytes that all windows of a block of so many starts up to base share, and of all bytes of the windows
+    from first to last together; a window by itself has its own hash for both."""
+    many = (last - first).astype(np.uint64)
+    return hashed.of(base, length - starts + 1).view(np.int64), (hashed.of(first, last - first + length) + many).view(np.int64)
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of ascending places."""
+    far = np.flatnonzero(np.diff(at) > 1)
+    return at[np.concatenate(([0], far + 1))[: len(at)]], at[np.concatenate((far, [len(at) - 1]))[: len(at)]]
+
+
+_BLOCK = "kind int, common long, whole long, did long, first int, last int, base int, edge boolean"
+
+
+def _rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if out:
+        cells = [np.concatenate(c) for c in zip(*out, strict=True)]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["kind", "common", "whole", "did", "first", "last", "base", "edge"])
+
+
 def _blocks(length: int):
-    """text, cuts, states -> kind 0: (key, did, j, b, edge) of blocks; kind 1: (hash, did, start) of windows without cut,
-    each content once; kind 2: (null, did, start) of those that stand twice in the text."""
+    """text, cuts, states -> kind 0: blocks; kind 1: windows without cut, each content once (first = last); kind 2: runs
+    of starts of those that stand twice in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
@@ -319,36 +350,60 @@ def _blocks(length: int):
                     continue
                 hashed = Hashed(batch.column(1)[k].as_py(), powers)
                 j, b = edges[:, 0], edges[:, 1]
-                key = hashed.of(cuts[1:][j] - STARTS * b - 1, length - STARTS + 1) + b.astype(np.uint64)
-                one, at, twice = _once(hashed.of(alone, length), alone)
-                for kind, h, x, y, z in ((0, key, j, b, state[j] < 1), (1, one, at, at * 0, at >= 0), (2, np.zeros(len(twice), np.uint64), twice, twice * 0, twice >= 0)):
-                    out.append((np.full(len(h), kind, np.int32), h.view(np.int64), np.full(len(h), did), x, y.astype(np.int32), z))
-            if out:
-                cells = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["kind", "key", "did", "x", "b", "edge"])
+                first, last, base = _spans(cuts, j, b, length)
+                some = last >= first
+                j, b, first, last, base = j[some], b[some], first[some], last[some], base[some]
+                common, whole = _keys(hashed, first, last, base, STARTS, length)
+                common = common + b
+                one, at, twice = _once(hashed.of(alone, length).view(np.int64), alone)
+                low, high = _runs(twice)
+                for kind, c, w, x, y, z, e in ((0, common, whole, first, last, base, state[j] < 1), (1, one, one, at, at, at, at >= 0), (2, low * 0, low * 0, low, high, high, low >= 0)):
+                    out.append((np.full(len(x), kind, np.int32), c, w, np.full(len(x), did), x, y, z, e))
+            yield from _rows_of(out)
 
     return run
 
 
-def _windows(length: int):
-    """text, cuts, blocks (j, b) -> (hash, did, start)."""
+def _smaller(length: int, starts: int):
+    """text, open blocks (first, last, base, edge) -> kind 0: their blocks of at most so many starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
+            out = []
             for k in range(batch.num_rows):
-                cuts = batch.column(2)[k].values.to_numpy().astype(np.int64)
-                blocks = batch.column(3)[k].values
-                start = _starts(cuts, blocks.field(0).to_numpy(), blocks.field(1).to_numpy().astype(np.int64), length)
-                if len(start):
-                    h = Hashed(batch.column(1)[k].as_py(), powers).of(start, length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), batch.column(0)[k].as_py())), pa.array(start)], names=["key", "did", "x"])
+                blocks = batch.column(2)[k].values
+                first, last, base = (blocks.field(f).to_numpy().astype(np.int64) for f in (0, 1, 2))
+                edge = blocks.field(3).to_numpy(zero_copy_only=False)
+                skip = (base - last) // starts  # counted from base, which lies where the cut behind it says
+                n = (base - first) // starts + 1 - skip
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - skip, n)
+                where = np.repeat(base, n) - place * starts
+                low, high = np.maximum(where - starts + 1, np.repeat(first, n)), np.minimum(where, np.repeat(last, n))
+                common, whole = _keys(Hashed(batch.column(1)[k].as_py(), powers), low, high, where, starts, length)
+                out.append((np.zeros(len(low), np.int32), common, whole, np.full(len(low), batch.column(0)[k].as_py()), low, high, where, np.repeat(edge, n)))
+            yield from _rows_of(out)
 
     return run
 
 
+def _settle(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(did, first, last) of blocks that are repeated whole, and (did, first, last, base, edge) of those that stay open.
+
+    Blocks of equal joint bytes are one content; a content that stands once stays open if others share its common bytes,
+    and so does one block of each content that it shares them with.
+    """
+    place = F.struct("did", "first", "last", "base")
+    contents = stage(blocks.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.max("edge").alias("e")), "repeat-contents")
+    groups = contents.groupBy("common").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("e") & (F.col("n") == 1)).alias("open")).filter("c > 1 and open").select("common")
+    left = contents.join(stage(groups, "repeat-open").hint("merge"), "common", "left_semi").select("place.*", (F.col("e") & (F.col("n") == 1)).alias("edge"))
+    again = stage(contents.filter("n > 1 and e").select("common", "whole"), "repeat-twice")
+    found = blocks.filter("edge").join(again.hint("merge"), ["common", "whole"], "left_semi").select("did", "first", "last")
+    return found, left
+
+
 def _remove(length: int):
-    """text, cuts, states, starts -> id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+    """text, cuts, states, spans of starts -> id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,8 +421,7 @@ def _remove(length: int):
                         known = known[cuts[known] <= n - length]
                         start, last = cuts[known], np.minimum(cuts[1:][known] - 1, n - length)
                         if more.is_valid:
-                            x = more.values.to_numpy()
-                            start, last = np.concatenate((start, x)), np.concatenate((last, x))
+                            start, last = (np.concatenate((own, more.values.field(f).to_numpy())) for f, own in enumerate((start, last)))
                         np.add.at(step, start, 1)
                         np.add.at(step, last + length, -1)
                         dead = np.cumsum(step[:-1]) > 0
@@ -382,14 +436,6 @@ def _remove(length: int):
     return run
 
 
-def _with(docs: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
-    """docs joined with a staged row per document; broadcast if the column's cells are counted to hold at most 1.5 million
-    elements or bytes in 50,000 rows, else shuffled."""
-    held = F.octet_length(column) if table.schema[column].dataType.typeName() == "binary" else F.size(column) * 8
-    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(held.cast("long")), F.lit(0))).first()
-    return docs.join(F.broadcast(table) if n <= 50_000 and size <= 12_000_000 else table.hint("merge"), "did", how)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
@@ -402,9 +448,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     tasks = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    cut = stage(rows.mapInArrow(_cut(length), _read_schema), "repeat-texts")
-    posts = cut.select("did", "names").mapInArrow(_post(4 * tasks), "kind int, i long, s long, bucket int, packed binary")
-    found = stage(posts.repartition(tasks, "bucket").mapInArrow(_repeated, "i long, s long"), "repeat-names")
+    cut = stage_by(rows.mapInArrow(_cut(length), _read_schema), "did", "repeat-texts")  # the one time that texts are shuffled
+    collect_garbage(spark)
+    beside = lambda columns, table, how: cut.select("did", *columns).join(table.hint("merge"), "did", how)
+    posts = cut.select("did", "names").mapInArrow(_post(8 * tasks), "kind int, i long, s long, bucket int, packed binary")
+    found = stage(posts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "i long, s long"), "repeat-names")
 
     def by_doc(rows: DataFrame, value, name: str) -> DataFrame:
         return rows.groupBy(F.shiftright("i", _PHRASES).alias("did")).agg(F.collect_list(value).alias(name))
@@ -412,7 +460,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     phrase = F.col("i").bitwiseAND(F.lit((1 << _PHRASES) - 1)).cast("int")
     per_doc = stage(by_doc(found, phrase, "found"), "repeat-phrases")
     collect_garbage(spark)
-    text = _with(cut.select("did", "cuts", "names"), per_doc, "found", "inner").select("did", "cuts", "names", "found")
+    text = beside(["cuts", "names"], per_doc, "inner").select("did", "cuts", "names", "found")
     text = stage(text.mapInArrow(_string(length), "i long, s long, print long"), "repeat-string")
     ranks = suffix_ranks(text.select("i", "s"))
     prefixes = text.filter("print is not null").select("i", "print").join(ranks, "i").select("r", "i", "print")
@@ -437,22 +485,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     del posts, found, text, ranks, per_doc, prefixes, equal, sized
     collect_garbage(spark)
 
-    marked = _with(cut.select("did", "text", "cuts"), states, "states", "left").select("did", "text", "cuts", "states")
-    blocks = stage(marked.mapInArrow(_blocks(length), "kind int, key long, did long, x long, b int, edge boolean"), "repeat-blocks")
-    shared = blocks.filter("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("edge").alias("e")).filter("c > 1 and e").select("key")
-    wanted = blocks.filter("kind = 0").join(stage(shared, "repeat-shared"), "key", "left_semi")
-    wanted = stage(wanted.groupBy("did").agg(F.collect_list(F.struct(F.col("x").cast("int").alias("j"), "b")).alias("blocks")), "repeat-wanted")
-    single = _with(cut.select("did", "text", "cuts"), wanted, "blocks", "inner").select("did", "text", "cuts", "blocks").mapInArrow(_windows(length), "key long, did long, x long")
-    single = stage(single.union(blocks.filter("kind = 1").select("key", "did", "x")), "repeat-windows")
-    again = stage(single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "repeat-again")
-    flagged = single.join(again, "key", "left_semi").select("did", "x").union(blocks.filter("kind = 2").select("did", "x"))
-    starts = stage(flagged.groupBy("did").agg(F.collect_list("x").alias("starts")), "repeat-starts")
-    for old in (blocks, single):
+    marked = beside(["text", "cuts"], states, "left").select("did", "text", "cuts", "states")
+    blocks = stage(marked.mapInArrow(_blocks(length), _BLOCK), "repeat-blocks")
+    found = [blocks.filter("kind = 2").select("did", "first", "last")]
+    now = blocks.filter("kind = 0")
+    for starts in (FEWER, 1):
+        repeated, left = _settle(now)
+        found.append(stage(repeated, "repeat-whole"))
+        left = left.groupBy("did").agg(F.collect_list(F.struct("first", "last", "base", "edge")).alias("blocks"))
+        now = stage(beside(["text"], left, "inner").select("did", "text", "blocks").mapInArrow(_smaller(length, starts), _BLOCK), "repeat-smaller")
+        collect_garbage(spark)
+    single = now.union(blocks.filter("kind = 1"))
+    again = stage(single.groupBy("common").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("common"), "repeat-again")
+    found.append(single.filter("edge").join(again.hint("merge"), "common", "left_semi").select("did", "first", "last"))
+    every = functools.reduce(DataFrame.union, found)
+    spans = stage(every.groupBy("did").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeat-spans")
+    for old in (blocks, now):
         drop_staged(old)
-    del marked, blocks, shared, wanted, single, again, flagged
+    del marked, blocks, now, left, single, again, found, every
     collect_garbage(spark)
 
-    done = _with(_with(cut.select("did", "id", "text", "cuts"), states, "states", "left"), starts, "starts", "left").select("id", "text", "cuts", "states", "starts")
+    done = beside(["id", "text", "cuts"], states, "left").join(spans.hint("merge"), "did", "left").select("id", "text", "cuts", "states", "spans")
     return done.mapInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 

@@ -265,4 +265,8 @@ def test_suffix_dedup(spark, monkeypatch):
     assert run(400) == want and run(300) == _repeats(texts, 300)
     monkeypatch.setattr(suffix_array, "BASE", 300)
     assert run(400) == want
+    null = spark.createDataFrame([(None, base[1], "x"), (4, base[1], "y"), (4, base[1], "z"), (None, None, "z"), (5, base[2], "z")], "doc_id long, text string, did string")
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(null).collect())
+    n = len(base[1]) if len(base[1]) >= 400 else 0
+    assert got == Counter([(None, n), (4, n), (4, n), (None, 0), (5, 0)])
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0

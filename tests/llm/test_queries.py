@@ -109,3 +109,19 @@ def test_pipeline(spark, duck, tmp_path):
         else:
             _packed_whole(docs.toPandas(), before)
     assert names[0] == "quality rules" and len(names) == 5
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, null groups, columns with clashing names; and no rows at all."""
+    good = " ".join(f"w{i * i % 97}x{i}" for i in range(60))
+    rows = [(None, good, None, None, None, "a"), (1, good, "en", "s", 5, "b"), (1, None, "en", "s", 5, "c"), (2, "", "en", None, 5, "d"), (3, good + " end", "en", "s", 5, "e"), (4, "word " * 30_000, "en", "s", 5, "f")]
+    rows += [(100 + k, " ".join(f"{chr(97 + (k * i) % 26)}ord{k * i % 101}" for i in range(60)), None, "t", None, "g") for k in range(3, 33)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, copy string, _rid string"
+    for part in (rows, []):
+        docs = spark.createDataFrame([(*r, "x") for r in part], shape)
+        for i, (_, step) in enumerate(corpus_pipeline.STAGES):
+            docs = step(spark, docs, str(tmp_path))
+            path = str(tmp_path / f"{len(part)}-{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 0) == bool(part)
