@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -220,6 +221,50 @@ def unpack_value(packed: Column, kind: w.Type | str) -> Column:
     return unpack(packed)
 
 
+def pack_slices(values: Column, kind: w.Type | str) -> Column:
+    """Fixed-width forms of an array's elements in a row, without a length; numbers of a whole batch at once."""
+    kind = resolve(kind)
+    if kind.width is None:
+        raise TypeError("the type has no fixed width")
+    given, name = from_spark(kind), w.numpy_type(kind)
+
+    @F.arrow_udf(T.BinaryType())
+    def pack(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        if name is not None and not flat.null_count:
+            # bit patterns of unsigned numbers are what a cast to the signed type of the same width gives
+            data = flat.to_numpy(zero_copy_only=False)
+            info = None if name[1] == "f" else np.iinfo(name)
+            if info is not None and len(data) and (int(data.max()) > info.max or int(data.min()) < -(1 << (kind.bits - 1))):
+                raise w.InvalidData(f"a value does not fit {kind.bits} bits")
+            raw, size = data.astype(name).tobytes(), lists.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(size) * kind.width
+            return pa.array([None if m else raw[e - n * kind.width : e] for e, n, m in zip(ends.tolist(), size.tolist(), lists.is_null().to_pylist(), strict=True)], pa.binary())
+        return pa.array([None if x is None else w.pack_slice(kind, [given(y) for y in x]) for x in lists.to_pylist()], pa.binary())
+
+    return pack(values)
+
+
+def unpack_vecs(packed: Column, count: Column, kind: w.Type | str) -> Column:
+    """Inverse of pack_slices: arrays of count elements; fewer or more bytes are errors."""
+    kind = resolve(kind)
+    if kind.width is None:
+        raise TypeError("the type has no fixed width")
+    shape, taken = T.ArrayType(spark_type(kind)), to_spark(kind)
+    arrow = _arrow(shape)
+
+    def one(data, n):
+        if len(data) > n * kind.width:
+            raise w.IncorrectLength(f"{len(data)} bytes, {n * kind.width} wanted")
+        return [taken(x) for x in w.unpack_vec(kind, data, n)]
+
+    @F.arrow_udf(shape)
+    def unpack(values: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or n is None else one(x, n) for x, n in zip(values.to_pylist(), counts.to_pylist(), strict=True)], arrow)
+
+    return unpack(packed, count)
+
+
 def fits(wire: Column, capacity: int) -> Column:
     """wire, or the error WriterOutOfSpace where it is longer than the capacity."""
     return F.when(F.octet_length(wire) <= capacity, wire).when(wire.isNotNull(), F.raise_error(F.lit(f"WriterOutOfSpace: capacity is {capacity}")))

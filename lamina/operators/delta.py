@@ -94,6 +94,16 @@ def store_stats(rows: DataFrame, key: str, order_by: str, blob: str) -> DataFram
     return last.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("cached_bytes"))
 
 
+def keys(rows: DataFrame, key: str, order_by: str, blob: str) -> DataFrame:
+    """key, cached_bytes: the keys that the store holds after all rows, with the size of their last blob."""
+    known = rows.filter(F.col(key).isNotNull() & F.col(blob).isNotNull())
+    return known.groupBy(key).agg(F.max_by(F.octet_length(blob), F.col(order_by)).cast("long").alias("cached_bytes"))
+
+
+def contains_key(rows: DataFrame, key: str, value) -> bool:
+    return not rows.filter(F.col(key) == value).isEmpty()
+
+
 def patch_stats(previous: Column, blob: Column) -> Column:
     """struct(changed, n_patches) of a pair of blobs: bytes that differ and the runs they are sent in, by the codec's rule."""
 

@@ -165,6 +165,11 @@ def stats_by_type(dictionary: DataFrame, scope: list[str] | None = None) -> Data
     return dictionary.groupBy(*(scope or []), "type").agg(F.count(F.lit(1)).alias("n_values"), F.min("id").alias("least_id"), F.max("id").alias("greatest_id"))
 
 
+def size(dictionary: DataFrame) -> int:
+    """Values in a dictionary, a frozen one included; 0: it is empty."""
+    return dictionary.count()
+
+
 def values_for_type(dictionary: DataFrame, kind: str) -> DataFrame:
     return dictionary.filter(F.col("type") == kind).select("id", "value")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import varint as v
+from ..functions import wide
 from ..functions import wire as w
 from ..operators import columns, delta, dictionary, flagged, records, structural
 
@@ -535,10 +536,26 @@ def dedupe_clear_type(spark, sf_dir):
 FROM (SELECT o_orderkey, o_orderkey % 100 AS bits, (o_orderkey::UHUGEINT * (1::UHUGEINT << (o_orderkey % 100)::UHUGEINT)) AS v FROM orders)""")
 def u256_varint(spark, sf_dir):
     """Integers beyond 64 bits: binary of full width, least byte first, through the column codec."""
-    bits = F.pmod("o_orderkey", F.lit(100)).cast("int")
-    low = F.lpad(F.bin("o_orderkey"), 64, "0")
-    digits = F.lpad(F.concat(low, F.repeat(F.lit("0"), bits)), 256, "0")  # shifted left by bits, as binary digits
-    parts = F.transform(F.sequence(F.lit(31), F.lit(0), F.lit(-1)), lambda i: F.lpad(F.conv(F.substring(digits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", bits.alias("bits"), F.unhex(F.array_join(parts, "")).alias("v")).withColumn("wire", columns.encode_value(F.col("v"), "u256"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(100)).cast("int").alias("bits"))
+    rows = rows.withColumn("v", wide.shift_left(wide.from_long(F.col("o_orderkey")), F.col("bits"))).withColumn("wire", columns.encode_value(F.col("v"), "u256"))
     same = columns.decode_value(F.col("wire"), "u256") == F.col("v")
     return rows.select("o_orderkey", "bits", F.when(same, F.hex("wire")).alias("wire_hex"))
+
+
+@_query("""SELECT o_orderkey, to_hex((o_orderkey::UHUGEINT << (o_orderkey % 60)::UHUGEINT) + o_custkey::UHUGEINT) AS sum_hex,
+  to_hex((o_orderkey::UHUGEINT << (o_orderkey % 60)::UHUGEINT) + o_custkey::UHUGEINT - 1) AS difference_hex, to_hex((o_orderkey::UHUGEINT << (o_orderkey % 60)::UHUGEINT) >> 3::UHUGEINT) AS shifted_hex FROM orders""")
+def u128_arithmetic(spark, sf_dir):
+    key = wide.from_long(F.col("o_orderkey"), 128)
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", wide.shift_left(key, F.pmod("o_orderkey", F.lit(60)), 128).alias("v"))
+    rows = rows.withColumn("s", wide.add(F.col("v"), wide.from_long(F.col("o_custkey"), 128), 128))
+    one = wide.from_long(F.lit(1), 128)
+    return rows.select("o_orderkey", wide.number_hex(F.col("s")).alias("sum_hex"), wide.number_hex(wide.subtract(F.col("s"), one, 128)).alias("difference_hex"), wide.number_hex(wide.shift_right(F.col("v"), F.lit(3), 128)).alias("shifted_hex"))
+
+
+@_query(f"""SELECT o_custkey, len(k)::INTEGER AS n, array_to_string(list_transform(k, lambda x: {_le8('x')}), '') AS packed_hex, list_sum(k)::BIGINT AS back_sum
+FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders GROUP BY o_custkey)""")
+def pack_slice_custorders(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    rows = rows.withColumn("p", columns.pack_slices(F.col("k"), w.U64)).withColumn("n", F.size("k"))
+    back = columns.unpack_vecs(F.col("p"), F.col("n"), w.U64)
+    return rows.select("o_custkey", "n", F.hex("p").alias("packed_hex"), F.aggregate(back, F.lit(0).cast("long"), lambda a, x: a + x).alias("back_sum"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_records import VALUES
 
+from lamina.functions import wide
 from lamina.functions import wire as w
 from lamina.operators import columns, delta, records, structural
 
@@ -117,3 +118,52 @@ def test_delta_epochs_and_removal(spark):
     assert {i for i in range(30) if i % 5 == 0 or i % 6 < 2} | {100} <= whole
     back = delta.decode(done.drop("b"), ["k", "epoch"], "pos", remove="forget")
     assert sorted((r.pos, bytes(r.blob)) for r in back.collect()) == [(r[0], r[4]) for r in rows]
+
+
+def test_own_integer_scheme(spark):
+    """Another varint in the place of the usual one, for every integer type that is given it."""
+
+    def write(value):
+        out = bytearray()
+        while value > 127:
+            out.append(value & 127 | 128)
+            value >>= 7
+        return bytes([*out, value])
+
+    def read(reader, width):
+        value = shift = 0
+        while True:
+            byte = reader.take(1)[0]
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    scheme = w.Scheme(write, read)
+    _round(spark, w.Int(64, scheme=scheme), [0, 300, 2**64 - 1])
+    _round(spark, w.Vec(w.Int(32, True, scheme=scheme)), [[-1, 5, -(2**31)], []])
+    assert w.Int(16, scheme=scheme).dumps(300) == b"\xac\x02" and w.U16.dumps(300) == b"\x82\x2c\x01"
+
+
+def test_wide_and_slices(spark):
+    big = [0, 1, 2**64 - 1, 2**127, 2**200 + 5, 2**255]
+    df = spark.createDataFrame([(i, x.to_bytes(32, "little"), 13 * i) for i, x in enumerate(big)], "i int, v binary, k int")
+    v, k = F.col("v"), F.col("k")
+    got = df.select("i", "k", wide.shift_left(v, k).alias("l"), wide.shift_right(v, k).alias("r"), wide.number_hex(v).alias("h")).collect()
+    for r in got:
+        x = big[r.i]
+        assert (int.from_bytes(r.l, "little"), int.from_bytes(r.r, "little"), r.h) == ((x << r.k) % 2**256, x >> r.k, f"{x:X}")
+    with pytest.raises(Exception, match="InvalidData"):
+        df.select(wide.subtract(wide.from_long(F.lit(1)), wide.from_long(F.lit(2)))).collect()
+    with pytest.raises(Exception, match="InvalidData"):
+        df.select(wide.add(v, v)).collect()
+    for kind, values in ((w.U64, [[1, 2**64 - 1], [], None]), (w.U16, [[65535, 0]]), (w.F32, [[1.5], [0.25, 2.0]]), (w.FixedBytes(2), [[b"ab", b"cd"]]), (w.I8, [[-128, 127]])):
+        taken = columns.to_spark(kind)
+        rows = spark.createDataFrame([(i, None if x is None else [taken(y) for y in x]) for i, x in enumerate(values)], T.StructType().add("i", "integer").add("v", T.ArrayType(columns.spark_type(kind))))
+        rows = rows.withColumn("p", columns.pack_slices(F.col("v"), kind)).withColumn("b", columns.unpack_vecs(F.col("p"), F.size("v"), kind))
+        for r in rows.collect():
+            assert r.b == r.v and (r.p is None if r.v is None else bytes(r.p) == b"".join(map(kind.pack, values[r.i])))
+    with pytest.raises(Exception, match="InvalidData"):
+        spark.createDataFrame([([70_000],)], "v array<int>").select(columns.pack_slices(F.col("v"), w.U16)).collect()
+    stored = spark.createDataFrame([(1, 7, b"abc"), (2, 7, b"ab"), (3, None, b"x")], "pos long, k long, b binary")
+    assert [tuple(r) for r in delta.keys(stored, "k", "pos", "b").collect()] == [(7, 2)] and delta.contains_key(stored, "k", 7) and not delta.contains_key(stored, "k", 8)
