@@ -38,8 +38,8 @@ STARTS, FEWER = 64, 8
 _U = np.uint64
 _MULT, _INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: A document is a number of 38 bits, a phrase one of 24.
-_PHRASES = 24
+#: A document is a number of 39 bits, a phrase one of 24.
+_PHRASES, _DOCS = 24, 39
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,7 +99,9 @@ class Hashed:
 _read_schema = "did long, id long, text binary, cuts array<int>, names array<long>"
 
 
-def _cut(length: int):
+def _cut(length: int, parts: int):
+    """id, text -> numbered documents with their cuts and phrase names; parts: partitions, among which numbers are dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -110,9 +112,9 @@ def _cut(length: int):
                 cuts, names, dids = [], [], []
                 for text in some.column(1):
                     data = text.as_py() or b""
-                    if part >= 1 << 16 or n >= 1 << 22:
-                        raise ValueError("more documents in a partition than can be numbered: read in smaller partitions")
-                    dids.append((part << 22) + n)
+                    if part >= parts or n * parts + part >= 1 << _DOCS:
+                        raise ValueError("documents that can't be numbered: a partition too many, or uneven ones")
+                    dids.append(n * parts + part)
                     n += 1
                     if len(data) < length:  # no window: takes no part
                         cuts.append(np.zeros(0, np.int32))
@@ -448,7 +450,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     tasks = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    cut = stage_by(rows.mapInArrow(_cut(length), _read_schema), "did", "repeat-texts")  # the one time that texts are shuffled
+    cut = stage_by(rows.mapInArrow(_cut(length, max(1, rows.rdd.getNumPartitions())), _read_schema), "did", "repeat-texts")  # the one time that texts are shuffled
     collect_garbage(spark)
     beside = lambda columns, table, how: cut.select("did", *columns).join(table.hint("merge"), "did", how)
     posts = cut.select("did", "names").mapInArrow(_post(8 * tasks), "kind int, i long, s long, bucket int, packed binary")
