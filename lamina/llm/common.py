@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -60,6 +61,18 @@ def discard_all() -> None:
     _staged.clear()
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, Arrow batches to Python workers have at most so many rows; for jobs that run inside, with large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged_count() -> int:
     """A mark for staged_since()."""
     return len(_staged)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import collect_garbage, drop_staged, partitions, stage
 
 #: Symbols that one task sorts; a constant, whatever the string's length.
-BASE = 4096
+BASE = 1024
 #: Positions to a window; two more are seen behind it.
 BLOCK = 3 << 14
 NONE = -(2**63)
@@ -101,7 +101,8 @@ def _offset(totals, column: str) -> Column:
     for p in range(len(sums)):
         sums[p] = at
         at += by_part.get(p, 0)
-    return F.element_at(F.array(*[F.lit(x).cast("long") for x in sums]), F.col("part").cast("int") + 1)
+    table = F.from_json(F.lit(str(sums)), "array<bigint>")  # folded into one literal, however many parts
+    return F.element_at(table, F.col("part").cast("int") + 1)
 
 
 def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Suffix-array dedup: every byte that lies in a string of `length` bytes which also starts anywhere else is removed.
 
+0. Of equal texts one takes part; the others, and it, are removed whole.
 1. Texts are cut where the hash of 16 bytes says so: equal strings are cut alike inside.  Pieces (phrases) get names;
    phrases whose name stands once cannot lie inside a repeated string.  The string of names is made of the runs of
    repeated phrases that are long enough to hold a window.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, drop_staged, partitions, read_table, stage, stage_by
+from .common import arrow_rows, collect_garbage, drop_staged, partitions, read_table, stage, stage_by
 from .suffix_array import suffix_ranks
 
 LENGTH = 400
@@ -96,7 +97,7 @@ class Hashed:
         return _mix(names)
 
 
-_read_schema = "did long, id long, text binary, cuts array<int>, names array<long>"
+_read_schema = "did long, id long, text binary, cuts array<int>, names array<long>, n long, digest binary"
 
 
 def _cut(length: int, parts: int):
@@ -109,13 +110,15 @@ def _cut(length: int, parts: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                cuts, names, dids = [], [], []
+                cuts, names, dids, sizes, digests = [], [], [], [], []
                 for text in some.column(1):
                     data = text.as_py() or b""
                     if part >= parts or n * parts + part >= 1 << _DOCS:
                         raise ValueError("documents that can't be numbered: a partition too many, or uneven ones")
                     dids.append(n * parts + part)
                     n += 1
+                    sizes.append(len(data))
+                    digests.append(hashlib.blake2b(data, digest_size=16).digest() if len(data) >= length else None)
                     if len(data) < length:  # no window: takes no part
                         cuts.append(np.zeros(0, np.int32))
                         names.append(np.zeros(0, np.int64))
@@ -127,7 +130,7 @@ def _cut(length: int, parts: int):
                     cuts.append(c.astype(np.int32))
                     names.append(hashed.names(c).view(np.int64))
                 lists = lambda rows, t: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)), pa.array(np.concatenate(rows), t))
-                yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), some.column(0), some.column(1), lists(cuts, pa.int32()), lists(names, pa.int64())], names=["did", "id", "text", "cuts", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), some.column(0), some.column(1), lists(cuts, pa.int32()), lists(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["did", "id", "text", "cuts", "names", "n", "digest"])
 
     return run
 
@@ -211,12 +214,19 @@ def _reach(cuts: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(np.searchsorted(cuts, cuts[1:] + length), len(cuts) - 1)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most so many rows, which bounds what a worker holds at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _string(length: int):
     """(did, cuts, names, j of repeated phrases) -> (i, s, print): the string of names, a unique symbol (its own place)
     behind every run; print is the fingerprint of the suffix's prefix, null if that holds a phrase that stands once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for k in range(batch.num_rows):
                 did, cuts, names = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy().astype(np.int64), batch.column(2)[k].values.to_numpy().view(np.uint64)
@@ -340,7 +350,7 @@ def _blocks(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for k in range(batch.num_rows):
                 cuts = batch.column(2)[k].values.to_numpy().astype(np.int64)
@@ -371,7 +381,7 @@ def _smaller(length: int, starts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for k in range(batch.num_rows):
                 blocks = batch.column(2)[k].values
@@ -443,16 +453,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Texts count as UTF-8 bytes, null as empty; matches never cross texts; texts shorter than length stay whole.  Repeated
     rows are texts of their own, so each is the other's repeat.  Null ids stay null; other columns are left out.  No
-    rows: none.  Memory: about 40 bytes a byte of the longest text, and a partition's share of the phrases.
+    rows: none.  Memory: about 40 bytes a byte of the longest text, and a bucket of the phrases.
     """
     if length < 4 * STARTS:
         raise ValueError(f"length must be at least {4 * STARTS}")
+    with arrow_rows(docs.sparkSession, 1024):
+        return _remove_repeats(docs, length, id_col, text_col)
+
+
+def _remove_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     tasks = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     cut = stage_by(rows.mapInArrow(_cut(length, max(1, rows.rdd.getNumPartitions())), _read_schema), "did", "repeat-texts")  # the one time that texts are shuffled
     collect_garbage(spark)
     beside = lambda columns, table, how: cut.select("did", *columns).join(table.hint("merge"), "did", how)
+    # equal texts: all of them go, and one is enough for others to be held against
+    twice = cut.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min("did").alias("first")).filter("c > 1").select("digest", "first")
+    twice = stage(twice, "repeat-equal")
+    equal_texts = cut.select("did", "n", "digest").join(twice.hint("merge"), "digest").select("did", "n", "first")
+    equal_texts = stage(equal_texts, "repeat-copies")
+    copies = equal_texts.filter("did <> first").select("did").hint("merge")
     posts = cut.select("did", "names").mapInArrow(_post(8 * tasks), "kind int, i long, s long, bucket int, packed binary")
     found = stage(posts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "i long, s long"), "repeat-names")
 
@@ -462,7 +483,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     phrase = F.col("i").bitwiseAND(F.lit((1 << _PHRASES) - 1)).cast("int")
     per_doc = stage(by_doc(found, phrase, "found"), "repeat-phrases")
     collect_garbage(spark)
-    text = beside(["cuts", "names"], per_doc, "inner").select("did", "cuts", "names", "found")
+    text = beside(["cuts", "names"], per_doc.join(copies, "did", "left_anti"), "inner").select("did", "cuts", "names", "found")
     text = stage(text.mapInArrow(_string(length), "i long, s long, print long"), "repeat-string")
     ranks = suffix_ranks(text.select("i", "s"))
     prefixes = text.filter("print is not null").select("i", "print").join(ranks, "i").select("r", "i", "print")
@@ -480,16 +501,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 out.append(state.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["did", "states"])
 
-    sized = cut.select("did", F.size("names").alias("n")).join(per_doc, "did").join(equal, "did", "left")
+    sized = cut.select("did", F.size("names").alias("n")).join(per_doc.join(copies, "did", "left_anti"), "did").join(equal, "did", "left")
     states = stage(sized.select("did", "n", "found", "equal").mapInArrow(pack, "did long, states binary"), "repeat-states")
     for old in (found, text, ranks, per_doc):
         drop_staged(old)
     del posts, found, text, ranks, per_doc, prefixes, equal, sized
     collect_garbage(spark)
 
-    marked = beside(["text", "cuts"], states, "left").select("did", "text", "cuts", "states")
+    marked = beside(["text", "cuts"], states, "left").join(copies, "did", "left_anti").select("did", "text", "cuts", "states")
     blocks = stage(marked.mapInArrow(_blocks(length), _BLOCK), "repeat-blocks")
-    found = [blocks.filter("kind = 2").select("did", "first", "last")]
+    whole = equal_texts.select("did", F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))
+    found = [whole, blocks.filter("kind = 2").select("did", "first", "last")]
     now = blocks.filter("kind = 0")
     for starts in (FEWER, 1):
         repeated, left = _settle(now)

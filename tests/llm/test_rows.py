@@ -59,6 +59,8 @@ def test_url_rules(spark):
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
     assert got == urls
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "http://a.net/es/1"), (None, "http://a.net/es/1"), (None, None)], "page_id long, url string")
+    assert Counter((r.page_id, r.verdict) for r in url_filter.filter_urls(twice).collect()) == Counter({(None, "block"): 2, (None, "allow"): 1})
     assert url_filter.filter_urls(df, [], []).filter("verdict <> 'allow'").count() == 0
 
 
