@@ -10,6 +10,7 @@ symbols is sorted in one task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +46,19 @@ def sort_small(i: np.ndarray, s: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _follow(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """Adds columns: name -> (column, distance): that column at i + distance, null where there is no such position."""
+def _follow(tables: list[DataFrame], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """One row per position of the tables (i and columns of their own), with all their columns and more: name -> (column,
+    distance), that column at i + distance, null where there is no such position.
+
+    One shuffle, by block of positions; the first two positions of a block are seen by the block before it as well.
+    """
     block = F.floor(F.col("i") / BLOCK)
+    own = {c: kind for t in tables for c, kind in t.dtypes if c != "i"}
+    rows = functools.reduce(DataFrame.unionByName, [t.select("i", *[F.col(c) if c in t.columns else F.lit(None).cast(kind).alias(c) for c, kind in own.items()]) for t in tables])
     halo = rows.filter(F.pmod("i", F.lit(BLOCK)) < 2).withColumn("_b", block - 1).withColumn("_own", F.lit(False))
     both = rows.withColumn("_b", block).withColumn("_own", F.lit(True)).unionByName(halo)
+    if len(tables) > 1:
+        both = both.repartition(partitions(both.sparkSession), "_b").groupBy("_b", "i").agg(*[F.max(c).alias(c) for c in own], F.max("_own").alias("_own"))
     window = Window.partitionBy("_b").orderBy("i")
 
     def at(column: str, distance: int) -> Column:
@@ -105,11 +114,14 @@ def _offset(totals, column: str) -> Column:
     return F.element_at(table, F.col("part").cast("int") + 1)
 
 
-def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:
-    """(i, r): the rank, from 1, of every suffix of the string (i, s). Staged; no rows: none."""
+def suffix_ranks(text: DataFrame, base: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """(i, r): the rank, from 1, of every suffix of the string (i, s). Staged; no rows: none.
+
+    size: the number of symbols and a number above every position, where they are known.
+    """
     base = BASE if base is None else base
     text = text.select(F.col("i").cast("long").alias("i"), F.col("s").cast("long").alias("s"))
-    total = text.count()
+    total, above = size or text.agg(F.count(F.lit(1)), F.coalesce(F.max("i"), F.lit(0)) + 1).first()
     if total <= base:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)
@@ -123,33 +135,40 @@ def suffix_ranks(text: DataFrame, base: int | None = None) -> DataFrame:
     parts = max(1, min(partitions(text.sparkSession), -(-total // 20_000)))
     # names of the sampled triples
     low = F.lit(NONE).cast("long")
-    triples = _follow(text, {"s1": ("s", 1), "s2": ("s", 2)}).filter(F.pmod("i", F.lit(3)) != 0)
+    triples = _follow([text], {"s1": ("s", 1), "s2": ("s", 2)}).filter(F.pmod("i", F.lit(3)) != 0)
     triples = triples.select("i", "s", F.coalesce("s1", low).alias("s1"), F.coalesce("s2", low).alias("s2"))
     named, totals = _sorted_parts(triples, ["s", "s1", "s2"], [], parts)
     names = named.select("i", (F.col("name") + _offset(totals, "name")).alias("r"))
-    if sum(t["name"] for t in totals) < sum(t["n"] for t in totals):
+    sampled = sum(t["n"] for t in totals)
+    if sum(t["name"] for t in totals) < sampled:
         # recurse on the names: positions 3q + 1 in order, then positions 3q + 2
-        span = text.agg(F.max("i")).first()[0] // 3 + 2
+        span = above // 3 + 2
         third = F.floor(F.col("i") / 3)
         shorter = names.select((third + F.when(F.pmod("i", F.lit(3)) == 2, span).otherwise(0)).alias("i"), F.col("r").alias("s"))
-        ranks = suffix_ranks(shorter, base)
+        ranks = suffix_ranks(shorter, base, (sampled, 2 * span))
         second = F.col("i") >= span
         sample = ranks.select((F.when(second, F.col("i") - span).otherwise(F.col("i")) * 3 + F.when(second, 2).otherwise(1)).alias("i"), "r")
     else:
         ranks, sample = None, names
 
     # merge the others
-    full = _follow(text.join(sample, "i", "left"), {"s1": ("s", 1), "r1": ("r", 1), "r2": ("r", 2)})
-    full = stage(full.withColumns({"s1": F.coalesce("s1", low), "r1": F.coalesce("r1", F.lit(0)), "r2": F.coalesce("r2", F.lit(0)), "zero": (F.pmod("i", F.lit(3)) == 0).cast("long"), "other": (F.pmod("i", F.lit(3)) != 0).cast("long")}), "suffix-merge")
+    full = _follow([text, sample], {"s1": ("s", 1), "r1": ("r", 1), "r2": ("r", 2)})
+    full = stage(full.select("i", "s", F.coalesce("s1", low).alias("s1"), F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2"), (F.pmod("i", F.lit(3)) == 0).cast("long").alias("zero"), (F.pmod("i", F.lit(3)) != 0).cast("long").alias("other")), "suffix-merge")
     one, one_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 2), ["s", "r1"], ["zero", "other"], parts)
     two, two_totals = _sorted_parts(full.filter(F.pmod("i", F.lit(3)) != 1), ["s", "s1", "r2"], ["zero", "other"], parts)
-    count = lambda rows, totals: rows.select("i", (F.col("zero_before") + _offset(totals, "zero")).alias("zeros"), (F.col("other_before") + _offset(totals, "other")).alias("others"), "zero")
-    first, second = count(one, one_totals), count(two, two_totals)
-    mixed = first.filter("zero = 1").join(second.filter("zero = 1").select("i", F.col("others").alias("more")), "i").select("i", (F.col("zeros") + F.col("others") + F.col("more") + 1).alias("r"))
-    sampled = first.filter("zero = 0").union(second.filter("zero = 0")).select("i", "zeros").join(sample, "i").select("i", (F.col("r") + F.col("zeros")).alias("r"))
-    out = stage(mixed.union(sampled), "suffix-ranks")
+    # a rank is a sum: of a sampled suffix its rank in the sample and the others before it; of another one the others
+    # before it and the sampled ones before it in both orders
+    is_zero = F.col("zero") == 1
+    zeros = lambda totals: F.col("zero_before") + _offset(totals, "zero")
+    others = lambda totals: F.col("other_before") + _offset(totals, "other")
+    parts_of = [
+        one.select("i", (zeros(one_totals) + F.when(is_zero, others(one_totals) + 1).otherwise(0)).alias("r")),
+        two.select("i", F.when(is_zero, others(two_totals)).otherwise(zeros(two_totals)).alias("r")),
+        sample.select("i", "r"),
+    ]
+    out = stage(functools.reduce(DataFrame.unionByName, parts_of).groupBy("i").agg(F.sum("r").alias("r")), "suffix-ranks")
     for old in (named, full, one, two, *([ranks] if ranks is not None else [])):
         drop_staged(old)
-    del triples, named, names, full, one, two, first, second, mixed, sampled, ranks, sample
+    del triples, named, names, full, one, two, parts_of, ranks, sample
     collect_garbage(text.sparkSession)
     return out
